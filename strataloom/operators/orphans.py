@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A reference key with at least this share of all references is heavy, so there are at most 1 / share of them.
-HEAVY_SHARE = 0.001
-#: Below so many references a key is not worth a broadcast.
-LEAST_HEAVY = 1_000
+from strataloom.operators.skew import skew_left_join
 
 
 def first_arrivals(targets: DataFrame, key: str, arrived: Column | None) -> DataFrame:
@@ -43,20 +40,12 @@ def count_references(references: DataFrame, by: list[str]) -> DataFrame:
 def resolve(references: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
     """``references`` with (found, first_arrival) of the target of the same ``by``; ``targets`` is distinct by it.
 
-    The references are counted per key and period first. Keys with ``HEAVY_SHARE`` of all of them,
-    at most 1 / ``HEAVY_SHARE`` many, are checked against the targets by a broadcast of these keys,
-    so the rows that hold them never move; all others go through a shuffled join, where no key is hot.
+    The references are counted per key and period first. Heavy keys are checked against the targets
+    by a broadcast of these keys, all others by a shuffled join.
     """
     per_key = count_references(references, by).groupBy(*by).agg(F.sum("n").alias("n"))
-    total = per_key.agg(F.sum("n")).scalar()
-    heavy = per_key.filter(F.col("n") >= F.greatest(F.lit(LEAST_HEAVY), HEAVY_SHARE * total)).select(*by)
-    marked = targets.withColumn("found", F.lit(True))
-    known = marked.join(F.broadcast(heavy), by, "left_semi")
-    answers = heavy.join(F.broadcast(known), by, "left").withColumn("heavy", F.lit(True))
-    split = references.join(F.broadcast(answers), by, "left")
-    hot = split.filter("heavy").drop("heavy")
-    cold = split.filter("heavy IS NULL").drop("heavy", "found", "first_arrival").join(marked.hint("shuffle_hash"), by, "left")
-    return hot.unionByName(cold).withColumn("found", F.coalesce("found", F.lit(False)))
+    checked = skew_left_join(references, targets.withColumn("found", F.lit(True)), by, per_key)
+    return checked.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def orphans(references: DataFrame, targets: DataFrame, deleted: DataFrame, by: list[str]) -> DataFrame:
