@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strataloom.plans import data_quality, texts
+from strataloom.plans import data_quality, files, texts
 
-MODULES = [data_quality, texts]
+MODULES = [data_quality, texts, files]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
