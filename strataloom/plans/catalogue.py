@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strataloom.plans import data_quality, files, rankings, texts
+from strataloom.plans import data_quality, files, graphs, rankings, texts
 
-MODULES = [data_quality, texts, files, rankings]
+MODULES = [data_quality, texts, files, rankings, graphs]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
