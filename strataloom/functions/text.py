@@ -247,3 +247,29 @@ def html_title(html: Column) -> Column:
     """The title of an HTML page, blanks taken together, at most 400 characters; NULL without one. Entities stay."""
     found = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
     return F.nullif(F.substring(F.trim(F.regexp_replace(found, r"\s+", " ")), 1, 400), F.lit(""))
+
+
+def span(text: Column, pattern: str, pad: int = 60, most: int = 280) -> Column:
+    """The first place of a pattern with ``pad`` characters on both sides, line breaks as blanks; NULL if it isn't there."""
+    flat = F.regexp_replace(text, r"[\r\n]+", " ")
+    return F.nullif(F.substring(F.trim(F.regexp_extract(flat, f".{{0,{pad}}}(?:{pattern}).{{0,{pad}}}", 0)), 1, most), F.lit(""))
+
+
+def looks_generated(content: Column, markers: Sequence[str]) -> Column:
+    """Whether a marker stands in the first 4,000 characters, case aside; the rest of a generated file says no more."""
+    head = F.lower(F.substring(content, 1, 4000))
+    return F.coalesce(*[F.when(head.contains(m.lower()), F.lit(True)) for m in markers], F.lit(False))
+
+
+def bounded_patch(patch: Column, n_lines: Column, most_lines: int, most_chars: int) -> Column:
+    """(patch, skipped, truncated): a patch of at most ``most_lines`` lines, cut at ``most_chars``; the reason if it is left out."""
+    reason = F.when(patch.isNull(), "no_patch").when(n_lines > most_lines, "too_many_lines")
+    kept = F.when(reason.isNull(), F.substring(patch, 1, most_chars))
+    return F.struct(kept.alias("patch"), reason.alias("skipped"), (reason.isNull() & (F.length(patch) > most_chars)).alias("truncated"))
+
+
+def first_mode(values: Column, k: int) -> Column:
+    """The most frequent of the first ``k`` values of an array, ties to the least."""
+    head = F.slice(values, 1, k)
+    counted = F.transform(F.array_distinct(head), lambda v: F.struct((-F.size(F.filter(head, lambda x: x == v))).alias("n"), v.alias("v")))
+    return F.get(F.array_sort(counted), 0)["v"]

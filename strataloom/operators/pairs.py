@@ -86,3 +86,32 @@ def both_missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(``key``, side): keys of one table that the other lacks; NULL keys are none."""
     a, b = left.select(key).dropna().distinct(), right.select(key).dropna().distinct()
     return a.join(b, key, "left_anti").withColumn("side", F.lit("left_only")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right_only")))
+
+
+def filter_pairs(edges: DataFrame, least: float, most_days: float) -> DataFrame:
+    """(a, b, weight, n_edges, reason) of typed edges (a, b, edge_type, tier, strength, usable, days): pairs with their combined strength, and why one is to be left out.
+
+    Reasons, the first that holds: every edge is guarded; only edges of tier C; structural edges
+    alone and too far apart in time; too weak together. NULL for a pair that is kept.
+    """
+    from strataloom.functions.numbers import noisy_or
+
+    usable = F.col("usable")
+    strength = F.when(usable, F.col("strength"))
+    grouped = edges.groupBy("a", "b").agg(
+        noisy_or(strength).alias("weight"), F.count(F.lit(1)).alias("n_edges"), F.count_if(usable).alias("_usable"), F.bool_and(F.when(usable, F.col("tier") == "C")).alias("_weak"), F.bool_and(F.when(usable, F.col("edge_type").isin("structural", "symbol_downstream", "migration_dependency"))).alias("_structural"), F.max(F.abs("days")).alias("_days"),
+    )
+    reason = F.when(F.col("_usable") == 0, "all_guarded").when(F.col("_weak"), "tier_c_only").when(F.col("_structural") & (F.col("_days") > most_days), "far_apart").when(F.col("weight") < least, "weak")
+    return grouped.select("a", "b", F.round("weight", 6).alias("weight"), "n_edges", reason.alias("reason"))
+
+
+def degrees(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """``nodes`` with degree: the ends of ``edges`` (a, b) at each, repeated edges included; 0 for a node without."""
+    ends = edges.select(F.col("a").alias(key)).unionByName(edges.select(F.col("b").alias(key))).groupBy(key).agg(F.count(F.lit(1)).alias("degree"))
+    return nodes.join(ends, key, "left").fillna(0, ["degree"])
+
+
+def keep_verdicts(queue: DataFrame, earlier: DataFrame, key: str, verdict: str = "verdict") -> DataFrame:
+    """A new audit queue with the verdicts that earlier queues gave; of several the greatest."""
+    given = earlier.filter(F.col(verdict).isNotNull()).groupBy(key).agg(F.max(verdict).alias(verdict))
+    return queue.drop(verdict).join(given, key, "left")

@@ -33,7 +33,7 @@ def skew_left_join(left: DataFrame, right: DataFrame, by: Sequence[str], counts:
     answers = heavy.join(F.broadcast(right.join(F.broadcast(heavy), by, "left_semi")), by, "left").withColumn("_heavy", F.lit(True))
     split = left.join(F.broadcast(answers), by, "left")
     hot = split.filter("_heavy").drop("_heavy")
-    cold = split.filter("_heavy IS NULL").drop("_heavy", *new).join(right.hint("shuffle_hash"), by, "left")
+    cold = split.filter("_heavy IS NULL").drop("_heavy", *new).join(right, by, "left")
     return hot.unionByName(cold)
 
 

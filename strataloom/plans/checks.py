@@ -211,8 +211,8 @@ def host_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corroborating addresses: distinct urls and references a host, the first ten."""
     rows = read_table(spark, sf_dir, "web_artifacts", "url", "host", "reference_count").groupBy("url", "host").agg(F.max("reference_count").alias("n"))
     sums = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_urls"), F.sum("n").alias("n_references"))
-    w = Window.orderBy(F.col("n_urls").desc(), "host")
-    return sums.withColumn("place", F.row_number().over(w)).filter("place <= 10")
+    order = [F.col("n_urls").desc(), F.col("host").asc()]
+    return sums.orderBy(*order).limit(10).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
 QUERIES = {
