@@ -34,8 +34,7 @@ def hub_damping(fan_in: Column) -> Column:
 
 def noisy_or(strength: Column) -> Column:
     """Aggregate: the chance that at least one of several independent pieces of evidence holds; NULL ones are no evidence."""
-    kept = F.greatest(F.lit(0.0), F.least(F.lit(1.0), strength.cast("double")))
-    return 1 - F.product(1 - F.coalesce(kept, F.lit(0.0)))
+    return 1 - F.product(1 - F.coalesce(clamp(strength.cast("double"), 0.0, 1.0), F.lit(0.0)))
 
 
 def concordance(own: Column, other: Column, q: float, p: float) -> Column:
@@ -62,7 +61,8 @@ def differs(a: Column, b: Column, least: float, share: float) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), value))
+    """``value`` within [low, high]; NULL stays NULL (least and greatest alone would pass over it)."""
+    return F.when(value.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), value)))
 
 
 def date_slices(start: Column, end: Column, days: int) -> Column:
