@@ -24,12 +24,12 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> Da
     ``sizes``: source, n_tokens, one row a document. ``targets``: mix_name, source, target_share,
     max_repeats. A mix is to hold ``total`` tokens, by default as many as its sources have together;
     expected_copies of a document is wanted / available, at most max_repeats, and 0 for a source
-    without tokens. ``targets`` is configuration, a few rows a mix.
+    without tokens or share; a NULL max_repeats caps nothing. ``targets`` is configuration, a few rows a mix.
     """
     have = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("long").alias("available"))
     known = targets.join(have, "source", "left").fillna(0, ["n_documents", "available"])
     size = known.groupBy("mix_name").agg(F.sum("available").alias("_total"))
-    wanted = F.col("target_share") * (F.lit(total) if total is not None else F.col("_total"))
+    wanted = F.coalesce("target_share", F.lit(0.0)) * (F.lit(total) if total is not None else F.col("_total"))
     copies = F.when(F.col("available") > 0, F.least(F.col("wanted") / F.col("available"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     planned = known.join(size, "mix_name").withColumn("wanted", wanted.cast("double")).withColumn("expected_copies", F.floor(copies * 1e12).cast("decimal(38,0)") / F.lit(10**12).cast("decimal(13,0)"))
     return planned.withColumn("expected_copies", F.col("expected_copies").cast(_COPIES)).select("mix_name", "source", "target_share", "max_repeats", "n_documents", "available", "wanted", "expected_copies")
