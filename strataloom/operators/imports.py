@@ -98,5 +98,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     endings = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
     tried = F.when(F.col("path").endswith(".py"), python).otherwise(F.array(*[F.concat(script, F.lit(e)) for e in endings]))
     found = first_found(named.withColumn("_tried", tried), "_key", "_tried", files.select(F.col("path").alias("target")), "target")
-    match = [imports[c].eqNullSafe(found[c]) for c in ("path", "module", "name", "level")]
-    return imports.join(found, match[0] & match[1] & match[2] & match[3], "left").select(*[imports[c] for c in imports.columns], found["target"])
+    a, b = imports.alias("a"), found.alias("b")
+    same = F.lit(True)
+    for c in ("path", "module", "name", "level"):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, same, "left").select("a.*", "b.target")

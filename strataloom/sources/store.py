@@ -24,7 +24,14 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def _read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0]
+    # not by a reader, which leaves out files whose name begins with an underscore
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def write_table(df: DataFrame, path: str, sort_keys: Sequence[str] = (), exclude: Sequence[str] = (), partitions: int | None = None) -> dict:
