@@ -194,7 +194,8 @@ def reassemble(rows: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """Messages of all threads in conversation order: the columns of ``rows`` and (turn, defects).
 
     ``rows``: thread_id, message_id, reply_to, position (BIGINT), author, body (or has_text, if
-    only the verdicts are asked), created_at, fetched_at; other columns go along. Of repeated rows of a message the last fetched holds; rows
+    only the verdicts are asked), created_at, fetched_at; other columns go along, but for earlier
+    turn, defects and micros. Of repeated rows of a message the last fetched holds; rows
     without thread_id belong to no conversation and are left out. defects is empty for a
     conversation to keep, else some of ``DEFECTS``: positions are not exactly 0 to n-1; no text
     shows anything; fewer than two authors (without regard to case; NULL is none); the opener is a
@@ -202,7 +203,7 @@ def reassemble(rows: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     form a cycle. Empty input gives no rows. turn is NULL for messages on a cycle.
     """
     shows = F.col("has_text") if "has_text" in rows.columns else has_text(F.col("body"))
-    typed = rows.filter("thread_id IS NOT NULL").withColumns(
+    typed = rows.drop("turn", "defects", "micros").filter("thread_id IS NOT NULL").withColumns(
         {"position": F.col("position").cast("long"), "micros": F.unix_micros("created_at"), "has_text": shows, "author": F.lower("author")}
     )
     sizes = typed.groupBy("thread_id").agg(F.count(F.lit(1)).alias("n"))

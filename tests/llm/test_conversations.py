@@ -60,7 +60,8 @@ def brute(rows):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_dropped_threads_against_brute_force(spark, seed, in_task):
     rows = rows_of(seed)
-    judged = C.reassemble(spark.createDataFrame(rows, SCHEMA), in_task)
+    clashing = spark.createDataFrame(rows, SCHEMA).withColumn("turn", F.lit("x")).withColumn("micros", F.lit(1))
+    judged = C.reassemble(clashing, in_task)
     drop, threads = brute(rows)
     found = C.verdicts(judged).collect()
     assert {r.thread_id: r.n_messages for r in found} == {t: len(m) for t, m in threads.items()}
