@@ -25,12 +25,16 @@ def heavy_keys(df: DataFrame, by: Sequence[str], counts: DataFrame | None = None
 def skew_left_join(left: DataFrame, right: DataFrame, by: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined to ``right``, which is distinct by ``by``: rows of heavy keys by broadcast of these keys, others by shuffle.
 
-    Rows of ``left`` with a heavy key never move; the shuffled rest has no hot key.
+    Rows of ``left`` with a heavy key never move; the shuffled rest has no hot key. The heavy keys'
+    answers, a few rows, are found in a job before, so that the plan of the join stays small; without
+    any the join is an ordinary one.
     """
     by = list(by)
     heavy = heavy_keys(left, by, counts)
     new = [c for c in right.columns if c not in by]
-    answers = heavy.join(F.broadcast(right.join(F.broadcast(heavy), by, "left_semi")), by, "left").withColumn("_heavy", F.lit(True))
+    answers = cut_lineage(heavy.join(F.broadcast(right.join(F.broadcast(heavy), by, "left_semi")), by, "left").withColumn("_heavy", F.lit(True)))
+    if answers.isEmpty():
+        return left.join(right, by, "left")
     split = left.join(F.broadcast(answers), by, "left")
     hot = split.filter("_heavy").drop("_heavy")
     cold = split.filter("_heavy IS NULL").drop("_heavy", *new).join(right, by, "left")
