@@ -12,15 +12,20 @@ spark = get_spark("t", "local[1]", **{{"spark.ui.showConsoleProgress": "false"}}
 assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
 df = cut_lineage(spark.range(5))
 assert df.count() == 5 and "Range" not in df._jdf.queryExecution().toString()
+print("SET", spark.sparkContext.getConf().get("spark.checkpoint.dir"))
 print("FOLDER", spark.sparkContext._jsc.sc().getCheckpointDir().get())
 """
 
 
-def test_local_session_without_a_folder_gets_one_that_goes_with_it():
+def test_lineage_is_cut_in_the_given_folder_or_in_one_that_goes_with_the_session():
     out = subprocess.run([sys.executable, "-c", SCRIPT.format(root=str(ROOT))], capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-800:]
     folder = out.stdout.rsplit("FOLDER ", 1)[1].strip().removeprefix("file:")
-    assert "strataloom-checkpoint-" in folder and not Path(folder).exists()
+    given = out.stdout.rsplit("SET ", 1)[1].split("\n")[0]
+    if given == "None":
+        assert "strataloom-checkpoint-" in folder and not Path(folder).exists()
+    else:
+        assert folder.startswith(given.removeprefix("file:"))
 
 
 def test_catalogue_names_and_sql_agree():
