@@ -151,7 +151,7 @@ def claims_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AUDIT = f"""
 WITH c AS ({CLAIMS}), e AS (SELECT DISTINCT unnest(string_split(evidence, ',')) AS id FROM c)
-SELECT 'dangling' AS problem, 1 AS n_ids UNION ALL SELECT 'unreferenced', count(*) FROM c WHERE CAST(subject AS BIGINT) % 2 <> 0 UNION ALL SELECT 'orphan_evidence', count(*) FROM e WHERE id NOT IN (SELECT pr_id FROM pull_requests WHERE pr_id IS NOT NULL)"""
+SELECT * FROM (SELECT 'dangling' AS problem, 1 AS n_ids UNION ALL SELECT 'unreferenced', count(*) FROM c WHERE CAST(subject AS BIGINT) % 2 <> 0 UNION ALL SELECT 'orphan_evidence', count(*) FROM e WHERE id NOT IN (SELECT pr_id FROM pull_requests WHERE pr_id IS NOT NULL)) WHERE n_ids > 0"""
 
 SCENARIOS = {"balanced": None, "spending_first": "spending", "supply_first": "supply"}
 
