@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def tfidf(tokens: DataFrame, key: str, documents: int | Column | None = None, max_share: float = 0.3) -> DataFrame:
@@ -20,18 +24,71 @@ def tfidf(tokens: DataFrame, key: str, documents: int | Column | None = None, ma
     return raw.join(norm, key).select(key, "token", (F.col("_w") / F.col("_norm")).alias("weight"), "df")
 
 
-def cosine_pairs(weights: DataFrame, key: str, least: float, most_postings: int = 400) -> DataFrame:
-    """(a, b, similarity), a < b, of documents that share a token and are at least ``least`` alike.
+def cosine_pairs(weights: DataFrame, key: str, least: float, block: int = 512) -> DataFrame:
+    """(a, b, similarity), a < b, of all documents that share a token and are at least ``least`` alike.
 
-    Candidates come from tokens of at most ``most_postings`` documents, which are counted before the
-    join; similarity then counts all shared tokens. So a pair is missed only if everything it shares
-    is more common than that, and then it is not alike.
+    ``weights``: as of :func:`tfidf`, each document of length 1 (or less), ``least`` above 0. Prefix
+    filtering, which is exact: tokens are in order of their documents, the rarest first. What a
+    document has from its first token on that leaves less than ``least`` of its length can't make a
+    pair alone, so the rarest token that a pair shares is before that place in both. Documents with
+    such a token are compared in blocks: those of rare tokens together, those of a token with more
+    than ``block`` of them in pairs of salted chunks, so that no task grows with a token.
     """
-    rare = weights.filter(F.col("df") <= most_postings)
-    candidates = rare.select("token", F.col(key).alias("a")).join(rare.select("token", F.col(key).alias("b")), "token").filter("a < b").select("a", "b").distinct()
-    left = candidates.join(weights.select(F.col(key).alias("a"), "token", F.col("weight").alias("wa")), "a")
-    both = left.join(weights.select(F.col(key).alias("b"), "token", F.col("weight").alias("wb")), ["b", "token"])
-    return both.groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    slack = least - 1e-6  # similarities are rounded to 6 places
+    onward = Window.partitionBy(key).orderBy(F.col("df").desc(), F.col("token").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prefix = weights.withColumn("_left", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(onward))).filter(F.col("_left") >= slack).select(key, "token")
+    postings = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    bins = postings.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("_n") <= block, F.col("_n"))) / block))).scalar()
+    placed = prefix.join(postings, "token")
+    light = placed.filter(F.col("_n") <= block).select(key, F.lit("").alias("_token"), F.pmod(F.xxhash64("token"), F.coalesce(bins, F.lit(1))).alias("_low"), F.lit(-1).cast("bigint").alias("_high"), F.lit(-1).cast("bigint").alias("_chunk")).distinct()
+    chunks = F.ceil(F.col("_n") / block)
+    heavy = placed.filter(F.col("_n") > block).withColumn("_chunk", F.pmod(F.xxhash64(key), chunks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
+    heavy = heavy.select(key, F.col("token").alias("_token"), F.least("_chunk", "_other").alias("_low"), F.greatest("_chunk", "_other").alias("_high"), "_chunk")
+    vectors = weights.groupBy(key).agg(F.collect_list(F.struct("token", "weight")).alias("_v")).select(key, F.col("_v.token").alias("_tokens"), F.col("_v.weight").alias("_weights"))
+    kind = weights.schema[key].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("similarity", T.DoubleType())])
+
+    def compare(rows: pa.Table) -> pa.Table:
+        i, j, found = alike(rows, slack)
+        ids = rows[key].combine_chunks()
+        return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j)), "similarity": pa.array(found)})
+
+    found = light.unionByName(heavy).join(vectors, key).groupBy("_token", "_low", "_high").applyInArrow(compare, schema)
+    pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.round(F.max("similarity"), 6).alias("similarity"))
+    return pairs.filter(F.col("similarity") >= least)
+
+
+def alike(rows: pa.Table, least: float, columns: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity) of the rows (_low, _high, _chunk, _tokens, _weights) of a block that are at least ``least`` alike: of the low chunk with the high one, or all with all.
+
+    Products are summed over ``columns`` tokens at a time, so memory doesn't grow with the vocabulary.
+    """
+    lists = rows["_tokens"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    size, token, weight = pc.list_value_length(lists).to_numpy(), coded.indices.to_numpy(), rows["_weights"].combine_chunks().flatten().to_numpy()
+    row = np.repeat(np.arange(len(size)), size)
+    low, high, chunk = (rows[c].to_numpy() for c in ("_low", "_high", "_chunk"))
+    whole = high[0] < 0 or low[0] == high[0]
+    left, right = (np.arange(len(size)),) * 2 if whole else (np.flatnonzero(chunk == low[0]), np.flatnonzero(chunk == high[0]))
+    in_left, in_right = np.isin(row, left), np.isin(row, right)
+    shared = np.intersect1d(token[in_left], token[in_right])
+    place, at = np.full(len(coded.dictionary), -1), np.empty(len(size), dtype=int)
+    place[shared] = np.arange(len(shared))
+
+    def matrix(side: np.ndarray, inside: np.ndarray, begin: int) -> np.ndarray:
+        at[side] = np.arange(len(side))
+        col = place[token] - begin
+        use = inside & (col >= 0) & (col < columns)
+        out = np.zeros((len(side), min(columns, len(shared) - begin)))
+        out[at[row[use]], col[use]] = weight[use]
+        return out
+
+    total = np.zeros((len(left), len(right)))
+    for begin in range(0, len(shared), columns):
+        x = matrix(left, in_left, begin)
+        total += x @ (x if whole else matrix(right, in_right, begin)).T
+    i, j = np.nonzero((np.triu(total, 1) if whole else total) >= least)
+    return left[i], right[j], total[i, j]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:

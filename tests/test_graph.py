@@ -1,6 +1,7 @@
 import random
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pytest
 
 from strataloom.operators import communities as C
@@ -118,6 +119,25 @@ def test_cosine_pairs_against_brute_force(spark):
     assert {(r.a, r.b) for r in S.cosine_pairs(w, "id", 0.8).collect()} == want and (0, 30) in want
 
 
+def test_cosine_pairs_of_families_that_share_only_common_words(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(13)]
+    docs = {i: rng.sample(words, 10) for i in range(620)} | {1000 + i: rng.sample(words, 2) + [f"own{i % 90}", f"more{i % 70}"] for i in range(180)}
+    w = S.tfidf(spark.createDataFrame([(i, t) for i, ts in docs.items() for t in ts], "id int, token string"), "id", max_share=0.9)
+    rows = w.collect()
+    assert min(r.df for r in rows if r.token in words) > 400
+    ids, names = sorted(docs), sorted({r.token for r in rows})
+    m = np.zeros((len(ids), len(names)))
+    for r in rows:
+        m[ids.index(r.id), names.index(r.token)] = r.weight
+    cos = np.triu(np.round(m @ m.T, 6), 1)
+    want = {(ids[i], ids[j]): cos[i, j] for i, j in zip(*np.nonzero(cos >= 0.8), strict=True)}
+    assert len(want) > 10_000
+    for block in (64, 2_000):
+        got = {(r.a, r.b): r.similarity for r in S.cosine_pairs(w, "id", 0.8, block=block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 2e-6 for p in want)
+
+
 def test_nearest_and_identity(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "id int, e array<double>")
     got = [(r.rank, r.id) for r in S.nearest(v, v.filter("id = 0"), "id", "e", 2).orderBy("rank").collect()]
