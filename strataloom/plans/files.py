@@ -106,8 +106,8 @@ def longest_prefix_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cooccurrence_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes that share a path of 2 to 22 changes, with the evidence of all shared paths combined."""
-    pairs = P.shared_pairs(files(spark, sf_dir), "path", "pr_number", 2, 22)
+    """Changes that share a path of 2 to 40 changes, with the evidence of all shared paths combined."""
+    pairs = P.shared_pairs(files(spark, sf_dir), "path", "pr_number", 2, 40)
     return P.combine_pairs(pairs, F.lit(1.0) / F.col("fan_out")).withColumn("strength", F.round("strength", 6))
 
 
