@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,24 +15,30 @@ from strataloom.session import cut_lineage
 SWEEPS, LEVELS, EQUAL = 20, 12, 1e-12
 
 
-def one_level(nodes: list, links: dict, loops: dict, total: float, resolution: float) -> dict:
-    """Community of each node after moving nodes, in order, to the neighbouring community of the greatest gain; ties to the least."""
-    degree = {n: sum(links[n].values()) + 2 * loops.get(n, 0.0) for n in nodes}
-    home = {n: n for n in nodes}
-    mass = dict(degree)
+def one_level(starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, loops: np.ndarray, total: float, resolution: float) -> list[int]:
+    """Community of each node after moving nodes, in order, to the neighbouring community of the greatest gain; ties to the least.
+
+    Nodes are numbers; the neighbours of n and their weights are at ``starts[n]`` to ``starts[n + 1]``.
+    """
+    n_nodes = len(starts) - 1
+    degree = [sum(weights[starts[n] : starts[n + 1]].tolist()) + 2 * float(loops[n]) for n in range(n_nodes)]
+    home = list(range(n_nodes))
+    mass = list(degree)
     for _ in range(SWEEPS):
         moved = False
-        for n in nodes:
+        for n in range(n_nodes):
             into: dict = {}
-            for m, w in links[n].items():
-                into[home[m]] = into.get(home[m], 0.0) + w
+            at = slice(starts[n], starts[n + 1])
+            for m, w in zip(ends[at].tolist(), weights[at].tolist(), strict=True):
+                c = home[m]
+                into[c] = into.get(c, 0.0) + w
             old = home[n]
             mass[old] -= degree[n]
-            gain = lambda c: into.get(c, 0.0) - resolution * mass[c] * degree[n] / total  # noqa: B023, E731
-            best, most = old, gain(old)
+            pull = resolution * degree[n] / total
+            best, most = old, into.get(old, 0.0) - pull * mass[old]
             for c in sorted(into):
-                g = gain(c)
-                if c != old and (g > most + EQUAL or (abs(g - most) <= EQUAL and c < best)):
+                g = into[c] - pull * mass[c]
+                if c != old and (g > most + EQUAL or (g >= most - EQUAL and c < best)):
                     best, most = c, g
             mass[best] += degree[n]
             home[n] = best
@@ -47,35 +54,47 @@ def louvain(edges: list[tuple], total: float | None = None, resolution: float =
     ``total`` is twice the weight of the whole graph: a component run on its own with it moves as
     it would within the whole.
     """
-    links: dict = {}
-    for a, b, w in edges:
-        if w > 0 and a != b:
-            links.setdefault(a, {})[b] = links.setdefault(a, {}).get(b, 0.0) + w
-            links.setdefault(b, {})[a] = links.setdefault(b, {}).get(a, 0.0) + w
-    nodes = sorted(links)
-    total = total or sum(sum(x.values()) for x in links.values())
-    member = {n: n for n in nodes}
-    loops: dict = {}
-    level = nodes
+    a, b, w = zip(*edges, strict=True) if edges else ((), (), ())
+    nodes, community = louvain_arrays(np.array(a), np.array(b), np.array(w, dtype=float), total, resolution)
+    return dict(zip(nodes.tolist(), community.tolist(), strict=True))
+
+
+def louvain_arrays(a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float | None = None, resolution: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and their communities of edges in arrays: a link takes 24 bytes, so that large components fit."""
+    keep = (w > 0) & (a != b)
+    a, b, w = a[keep], b[keep], w[keep]
+    nodes = np.unique(np.concatenate([np.unique(a), np.unique(b)]))
+    size = len(nodes)
+    x, y = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+    src, dst, weight = merged(np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([w, w]), size)
+    total = total or float(weight.sum())
+    member, loops = np.arange(size), np.zeros(size)
+    least = np.arange(size)  # the least node of each community; communities keep the order of these
     for _ in range(LEVELS):
-        home = one_level(level, links, loops, total, resolution)
-        if all(n == c for n, c in home.items()):
+        starts = np.searchsorted(src, np.arange(len(loops) + 1)).tolist()
+        home = np.array(one_level(starts, dst, weight, loops, total, resolution), dtype=int)
+        if len(home) == 0 or (home == np.arange(len(home))).all():
             break
-        # communities keep the order of their least nodes, as the order of nodes decides ties
-        name = {c: min(n for n in level if home[n] == c) for c in set(home.values())}
-        home = {n: name[c] for n, c in home.items()}
-        member = {n: home[c] for n, c in member.items()}
-        grouped: dict = {c: {} for c in set(home.values())}
-        inner: dict = {c: 0.0 for c in grouped}
-        for n in level:
-            inner[home[n]] += loops.get(n, 0.0)
-            for m, w in links[n].items():
-                if home[n] == home[m]:
-                    inner[home[n]] += w / 2
-                else:
-                    grouped[home[n]][home[m]] = grouped[home[n]].get(home[m], 0.0) + w
-        links, loops, level = grouped, inner, sorted(grouped)
-    return member
+        # names are the least members, as the order of nodes decides ties
+        first = np.full(len(home), len(home))
+        np.minimum.at(first, home, np.arange(len(home)))
+        kept, home = np.unique(first[home], return_inverse=True)
+        member, least = home[member], least[kept]
+        inner = np.bincount(home, weights=loops, minlength=len(kept))
+        same = home[src] == home[dst]
+        loops = inner + np.bincount(home[src[same]], weights=weight[same] / 2, minlength=len(kept))
+        src, dst, weight = merged(home[src[~same]], home[dst[~same]], weight[~same], len(kept))
+    return nodes, nodes[least[member]]
+
+
+def merged(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links in order of (src, dst) with the weights of equal ones summed."""
+    codes = src * size + dst
+    order = np.argsort(codes, kind="stable")
+    codes, weight = codes[order], weight[order]
+    begin = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, dtype=int)
+    codes = codes[begin]
+    return codes // max(size, 1), codes % max(size, 1), np.add.reduceat(weight, begin) if len(begin) else weight
 
 
 def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -86,16 +105,16 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """
     kept = cut_lineage(edges.filter("a <> b AND weight > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight")))
     component = connected_components(kept, "a", "b").select(F.col("node").alias("a"), "component")
-    total = kept.agg(2 * F.sum("weight")).scalar()
+    total = kept.agg(2 * F.sum("weight")).first()[0]
     kind = kept.schema["a"].dataType
     schema = T.StructType([T.StructField("node", kind), T.StructField("community", kind)])
 
     def run(pool: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pool["a"], pool["b"], pool["weight"], strict=True))
-        found = louvain(rows, float(pool["total"].iloc[0]), resolution)
-        return pd.DataFrame(sorted(found.items()), columns=schema.names)
+        rows = pool.sort_values(["a", "b"])
+        node, community = louvain_arrays(rows["a"].to_numpy(), rows["b"].to_numpy(), rows["weight"].to_numpy(), total, resolution)
+        return pd.DataFrame({"node": node, "community": community})
 
-    return kept.join(component, "a").withColumn("total", total).groupBy("component").applyInPandas(run, schema)
+    return kept.join(component, "a").groupBy("component").applyInPandas(run, schema)
 
 
 def split_large(members: DataFrame, edges: DataFrame, most: int, strong: Column) -> DataFrame:

@@ -18,6 +18,13 @@ def shared_pairs(members: DataFrame, key: str, member: str, least: int = 2, most
     return kept.select(key, F.col(member).alias("a"), "fan_out").join(kept.select(key, F.col(member).alias("b")), key).filter("a < b").select(key, "a", "b", "fan_out")
 
 
+def shared_stars(members: DataFrame, key: str, member: str, least: int = 2, most: int = 40) -> DataFrame:
+    """(``key``, a, b, fan_out), a < b: as :func:`shared_pairs`, but only each key's least member with every other. The components are the same, in a row a member."""
+    distinct = members.select(key, member).dropna().distinct()
+    guarded = distinct.groupBy(key).agg(F.count(F.lit(1)).alias("fan_out"), F.min(member).alias("a")).filter(F.col("fan_out").between(least, most))
+    return distinct.join(guarded, key).filter(F.col("a") < F.col(member)).select(key, "a", F.col(member).alias("b"), "fan_out")
+
+
 def combine_pairs(pairs: DataFrame, strength: Column) -> DataFrame:
     """(a, b, strength, n_edges): pairs with their evidence combined by noisy-or."""
     from strataloom.functions.numbers import noisy_or

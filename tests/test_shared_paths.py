@@ -1,9 +1,12 @@
+import random
 from datetime import UTC, datetime, timedelta
 from itertools import combinations
 
 import pytest
 
-from strataloom.plans import files
+from strataloom.operators import graph as G
+from strataloom.operators import pairs as P
+from strataloom.plans import files, graphs
 
 
 def put(spark, folder, orders, lines, n_parts=100):
@@ -24,3 +27,27 @@ def test_cooccurrence_has_the_guard_of_40(spark, tmp_path):
     got = {(r.a, r.b): r for r in files.cooccurrence_guarded(spark, put(spark, tmp_path, {}, lines)).collect()}
     assert set(got) == set(combinations(range(40), 2))
     assert got[0, 1].n_edges == 2 and got[0, 1].strength == pytest.approx(1 - (1 - 1 / 40) * (1 - 1 / 5), abs=1e-6) and got[0, 39].strength == pytest.approx(1 / 40)
+
+
+def test_graphs_take_every_status_and_size_of_change(spark, tmp_path):
+    lines = [(o, 1, "N", 1) for o in range(30)] + [(o, 2, "A", 2) for o in (40, 41)] + [(o, 3, "R", 50) for o in range(100, 141)]
+    d = put(spark, tmp_path, {}, lines)
+    assert {(r.node, r.component) for r in graphs.components(spark, d).collect()} == {(o, 0) for o in range(30)} | {(40, 40), (41, 40)}
+    assert {(r.component, r.n_changes, r.last_change) for r in graphs.episodes(spark, d).collect()} == {(0, 30, 29), (40, 2, 41)}
+    assert {(r.node, r.community) for r in graphs.louvain_communities(spark, d).collect()} == {(o, 0) for o in range(30)} | {(40, 40), (41, 40)}
+    sizes = {r.community: (r.n_nodes, r.n_edges) for r in graphs.community_confidence(spark, d).collect()}
+    assert sizes == {o: (1, 0) for o in range(30)} | {40: (2, 1)}
+
+
+def test_stars_connect_what_pairs_connect(spark):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(rng.randrange(60), rng.randrange(80)) for _ in range(200)], "k int, m int")
+    connected = lambda links: {(r.node, r.component) for r in G.connected_components(links, "a", "b").collect()}
+    assert connected(P.shared_stars(rows, "k", "m", 2, 4)) == connected(P.shared_pairs(rows, "k", "m", 2, 4))
+
+
+def test_propagation_walks_three_steps_from_all_paths_of_a_fix(spark, tmp_path):
+    orders = {1: ("1-URGENT", 0), 2: ("5-LOW", 1), 3: ("5-LOW", 2), 4: ("5-LOW", 3), 5: ("1-URGENT", 0), 6: ("5-LOW", 1)}
+    lines = [(1, 5, "A", 1), (2, 10, "N", 1), (3, 20, "N", 1), (4, 40, "N", 1), (5, 7, "N", 1), (6, 14, "N", 1)]
+    got = {(r.group, r.depth): (r.n_events, r.weight) for r in graphs.propagation(spark, put(spark, tmp_path, orders, lines)).collect()}
+    assert got == {(1, 1): (1, 0.5), (1, 2): (1, 0.25), (1, 3): (1, 0.125), (5, 1): (1, 0.225)}
