@@ -13,6 +13,8 @@ from strataloom.session import cut_lineage, shuffle_partitions
 HEAVY_SHARE = 0.001
 #: Below so many rows a key is not worth a broadcast.
 LEAST_HEAVY = 1_000
+#: A table of up to so many rows is sent to every executor.
+BROADCAST_ROWS = 50_000
 
 
 def heavy_keys(df: DataFrame, by: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
@@ -41,6 +43,16 @@ def skew_left_join(left: DataFrame, right: DataFrame, by: Sequence[str], counts:
     return hot.unionByName(cold)
 
 
+def lookup_join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``left`` joined to ``right``, which is distinct by ``by``: by broadcast up to ``BROADCAST_ROWS`` rows, beyond by ``skew_left_join``.
+
+    ``right`` is counted, so it should be a table or a checkpoint; the result is the same either way.
+    """
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), list(by), "left")
+    return skew_left_join(left, right, by)
+
+
 def running_sums(df: DataFrame, group: Sequence[str], key: str, value: Column, name: str, buckets: int | None = None) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over the rows of the group before this one, in the order of (hash bucket, key).
 
