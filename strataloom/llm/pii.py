@@ -12,20 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.operators.skew import skew_left_join
+from strataloom.operators.skew import lookup_join
 from strataloom.session import cut_lineage
 
 KINDS = ["email", "phone", "idnum", "address", "name"]
 #: What stands in a text for what was found.
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-#: A pattern has at least this part of all known instances of its kind: what stands before many by chance is none.
-LEAST_SUPPORT = 0.01
-#: Rounds of scoring patterns by instances and instances by patterns.
-ROUNDS = 3
-#: A pattern needs so many different instances, so many of them known, and a share of them known that depends on its kind.
-LEAST_INSTANCES, LEAST_KNOWN, LEAST_SHARE = 4, 3, {"name": 0.6, "phone": 0.25, "idnum": 0.25, "single": 0.1}
-#: Patterns and name words that fewer than this share of all instances back are not sent to the executors; bounds both by its inverse.
-RARE = 1e-5
+#: A pattern needs so many different instances, and a lower bound of the share of them that is known; the bound depends on its kind.
+LEAST_INSTANCES, LEAST_SHARE = 4, {"name": 0.5, "phone": 0.25, "idnum": 0.25, "single": 0.1}
+#: Confidence of the lower bound: 95 % on one side.
+Z = 1.645
 #: Rows of the counters that a task keeps before it passes them on.
 COUNTERS = 100_000
 
@@ -172,35 +168,38 @@ def occurrences(text: str) -> list[Found]:
     """All candidates of a text. Mail addresses, postal addresses and labelled numbers are masked before what is left is searched."""
     found: list[tuple[int, int, str, bool, str]] = []
     masked = text
-    #: where the label of a number begins: its context is what stands before the label
+    # where the label of a number begins: its context is what stands before the label
     before: dict[int, int] = {}
 
-    def take(start: int, end: int, kind: str, strong: bool, instance: str) -> None:
+    def take(hits: list[tuple[int, int, str, bool, str]]) -> None:
+        """Keep hits, which are in order and don't overlap, and mask them in one copy of the text."""
         nonlocal masked
-        found.append((start, end, kind, strong, instance))
-        masked = masked[:start] + _MASKS[kind] * (end - start) + masked[end:]
+        if not hits:
+            return
+        found.extend(hits)
+        parts, at = [], 0
+        for start, end, kind, _, _ in hits:
+            parts += [masked[at:start], _MASKS[kind] * (end - start)]
+            at = end
+        masked = "".join([*parts, masked[at:]])
 
     if ("@" in text or "＠" in text or "at" in text.lower()) and _MAIL_MARK.search(_REMOTE.sub("git:", text) if "git@" in text else text):
-        for m in EMAIL.finditer(text):
-            take(m.start(), m.end(), "email", True, m.group().lower())
+        take([(m.start(), m.end(), "email", True, m.group().lower()) for m in EMAIL.finditer(text)])
     if _DIGIT.search(masked):
         low = masked.lower()
         if any(k in low for k in _LABEL_MARKS):
-            for m in list(LABELLED.finditer(masked)):
-                if _digits(m.group(1)) >= 5:
-                    take(m.start(1), m.end(), "idnum", True, m.group(1))
-                    before[m.start(1)] = m.start()
+            labelled = [m for m in LABELLED.finditer(masked) if _digits(m.group(1)) >= 5]
+            take([(m.start(1), m.end(), "idnum", True, m.group(1)) for m in labelled])
+            before = {m.start(1): m.start() for m in labelled}
         if any(k in masked for k in _ADDRESS_MARKS):
-            for m in list(ADDRESS.finditer(masked)):
-                take(m.start(), m.end(), "address", True, m.group())
-        for m in list(NUMBER.finditer(masked)):
-            n = _digits(m.group())
-            if 7 <= n <= 20:
-                strong = bool(STRONG_PHONE.search(m.group())) and n >= 7
-                ssn = bool(STRONG_ID.match(m.group()))
-                take(m.start(), m.end(), "phone" if strong else "idnum" if ssn else "number", strong or ssn, m.group())
-        for m in list(DOCUMENT.finditer(masked)):
-            take(m.start(), m.end(), "number", False, m.group())
+            take([(m.start(), m.end(), "address", True, m.group()) for m in ADDRESS.finditer(masked)])
+        numbers = []
+        for m in NUMBER.finditer(masked):
+            if 7 <= _digits(m.group()) <= 20:
+                strong, ssn = bool(STRONG_PHONE.search(m.group())), bool(STRONG_ID.match(m.group()))
+                numbers.append((m.start(), m.end(), "phone" if strong else "idnum" if ssn else "number", strong or ssn, m.group()))
+        take(numbers)
+        take([(m.start(), m.end(), "number", False, m.group()) for m in DOCUMENT.finditer(masked)])
     out = [Found(*f, *_around(masked, before.get(f[0], f[0]), f[1])) for f in found]
     if _CAPITALS.search(masked):
         for m in NAME.finditer(masked):
@@ -237,14 +236,16 @@ _OCCURRENCE = T.StructType(
 )
 
 
+def _slim(texts: DataFrame) -> DataFrame:
+    return texts.select(F.col("table_name").cast("string").alias("table_name"), F.col("record_key").cast("string").alias("record_key"), F.xxhash64("body").alias("text_id"), "body").filter("body IS NOT NULL")
+
+
 def extract(texts: DataFrame) -> DataFrame:
     """One pass over ``texts`` (table_name, record_key, body): the occurrences of each, and counts of single words.
 
     Rows of kind ``single`` belong to no record: they count, for each task, how often a capitalized
     word begins a sentence that goes on with the three words in ``right``.
     """
-    source = texts.select(F.col("table_name").cast("string").alias("table_name"), F.col("record_key").cast("string").alias("record_key"), F.xxhash64("body").alias("text_id"), "body").filter("body IS NOT NULL")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -272,7 +273,7 @@ def extract(texts: DataFrame) -> DataFrame:
                 yield counted()
         yield counted()
 
-    return source.mapInArrow(run, _OCCURRENCE)
+    return _slim(texts).mapInArrow(run, _OCCURRENCE)
 
 
 #: Sides that are no context.
@@ -286,182 +287,178 @@ def _edges(found: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "pattern", "instance").agg(F.max("strong").alias("strong"))
 
 
-class Model(NamedTuple):
-    """Accepted patterns as {(kind, pattern): score}, and words of known names as {word: instances}."""
-
-    patterns: dict[tuple[str, str], float]
-    words: dict[str, int]
-
+def _accepted(edges: DataFrame) -> DataFrame:
+    """(kind, pattern, score, n) of the patterns around enough instances, of which enough are ``known``.
 
-def _accepted(edges: DataFrame, known: Column) -> DataFrame:
-    """(kind, pattern, score, n) of the patterns of which enough instances are known; a row a kind is broadcast."""
-    scored = edges.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n"), F.sum(known.cast("double")).alias("k"))
-    whole = edges.filter(known).groupBy("kind").agg(F.countDistinct("instance").alias("_all"))
-    scored = scored.join(F.broadcast(whole), "kind").filter(F.col("k") >= LEAST_SUPPORT * F.col("_all"))
-    score = F.col("k") / F.col("n")
+    The share of known instances counts by its lower confidence bound (Wilson), so a pattern stands
+    or falls with its own instances, whatever else the corpus holds.
+    """
+    scored = edges.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("known").cast("double")).alias("k"))
+    n, share = F.col("n"), F.col("k") / F.col("n")
+    bound = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
     least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in LEAST_SHARE.items()])
-    return scored.filter((F.col("n") >= LEAST_INSTANCES) & (F.col("k") >= LEAST_KNOWN) & (score >= least)).select("kind", "pattern", score.alias("score"), "n")
+    return scored.filter((n >= LEAST_INSTANCES) & (bound >= least)).select("kind", "pattern", share.alias("score"), "n")
 
 
 def number_patterns(found: DataFrame) -> DataFrame:
-    """Patterns (kind, pattern, score, n) of telephone and identity numbers: those around numbers whose shape or label decides.
+    """Patterns (kind, pattern, score, n) of telephone and identity numbers, scored with the instances until nothing is added.
 
-    Other numbers count for either kind as unknown instances; a pattern is accepted if enough of its
-    instances are known to be of the kind.
+    Numbers whose shape or label decides are the seeds. Other numbers count for either kind as
+    unknown until a pattern around them is accepted: from then on they are known, of the kind of
+    their best pattern, and back other patterns. Known instances only grow, so this ends.
     """
     # what follows a number is often the next thing of a list, so only what stands before it counts
     numbers = _edges(found.filter(F.col("kind").isin("phone", "idnum", "number"))).filter(F.col("pattern").startswith("L "))
     either = numbers.filter("kind = 'number'").drop("kind").select(F.explode(F.array(F.lit("phone"), F.lit("idnum"))).alias("kind"), "pattern", "instance", F.lit(False).alias("strong"))
-    return _accepted(numbers.filter("kind <> 'number'").unionByName(either).groupBy("kind", "pattern", "instance").agg(F.max("strong").alias("strong")), F.col("strong"))
+    either = either.filter((F.col("kind") != "phone") | ~_lettered(F.col("instance")))
+    edges = cut_lineage(numbers.filter("kind <> 'number'").unionByName(either).groupBy("kind", "pattern", "instance").agg(F.max("strong").alias("strong")))
+    given = None
+    while True:
+        known = edges.withColumn("known", F.col("strong"))
+        if given is not None:
+            known = edges.join(given.withColumn("_given", F.lit(True)), ["instance", "kind"], "left").withColumn("known", F.col("strong") | F.coalesce("_given", F.lit(False)))
+        patterns = cut_lineage(_accepted(known))
+        reached = lookup_join(edges.filter("NOT strong"), patterns.select("kind", "pattern", "score"), ["kind", "pattern"]).filter("score IS NOT NULL")
+        best = reached.groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        if given is not None:
+            best = best.join(given.select("instance"), "instance", "left_anti")
+        new = cut_lineage(best)
+        if new.isEmpty():
+            return patterns
+        given = new if given is None else cut_lineage(given.unionByName(new))
+
+
+def _lettered(instance: Column) -> Column:
+    """Whether a number holds letters, those of an extension aside: then it is no telephone number."""
+    return F.regexp_replace(instance, r"ext|\(US\)", "").rlike(r"\p{L}")
+
+
+_WORDS = T.StructType([T.StructField("instance", T.StringType()), T.StructField("first", T.StringType()), T.StructField("last", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))])
 
 
 def _with_words(instances: DataFrame, split) -> DataFrame:
-    """(instance, place, word) of distinct instances."""
-    schema = T.StructType([T.StructField("instance", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("word", T.StringType())])
+    """(instance, first, last, words) of distinct instances that have a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target = to_arrow_schema(schema)
+        target = to_arrow_schema(_WORDS)
         for batch in batches:
-            rows = [(x, i, w) for x in batch.column("instance").to_pylist() for i, w in enumerate(dict.fromkeys(split(x)))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], target.field(k).type) for k in range(3)], schema=target)
+            rows = [(x, w[0], w[-1], w) for x in batch.column("instance").to_pylist() if (w := split(x))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(target)], schema=target)
 
-    return instances.mapInArrow(run, schema)
+    return instances.mapInArrow(run, _WORDS)
 
 
 def _openers(found: DataFrame) -> DataFrame:
     """(word, openings): how often a word begins a sentence that goes on in lower case."""
     counts = found.filter("kind = 'single'").groupBy("instance").agg(F.sum("n").alias("n"))
-    return _with_words(counts.select("instance"), lambda x: [fold(x)]).join(counts, "instance").groupBy("word").agg(F.sum("n").alias("openings"))
+    return _with_words(counts.select("instance"), lambda x: [fold(x)]).join(counts, "instance").groupBy(F.col("first").alias("word")).agg(F.sum("n").alias("openings"))
 
 
-def name_graph(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(accepted name patterns, words of names) after scoring the graph of patterns and instances ``rounds`` times.
+def name_graph(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(patterns, words, instances) of names, after scoring the graph of patterns and instances until nothing is added.
 
-    Seeds are names in labelled fields (``NAME_SEEDS``), beside a mail address, or after a title. A
-    name is known if its first word is one of several known names; patterns with enough known
-    instances are accepted, and their instances' words are known in the next round. Words that
-    mostly begin sentences are none of names.
+    patterns: as of ``_accepted``. words: (word, k), how many known names have it. instances:
+    (instance, never, by_words), whether a candidate is none whatever stands around it, or one by
+    its words alone. Seeds are names in labelled fields (``NAME_SEEDS``), beside a mail address, or
+    after a title. A name is known if its first word is one of several known names; patterns with
+    enough known instances are accepted, and their instances' words are known in the next round.
+    Words that mostly begin sentences are none of names. Known names only grow, so this ends.
     """
-    names = found.filter("kind = 'name'")
-    edges = cut_lineage(_edges(names))
+    edges = cut_lineage(_edges(found.filter("kind = 'name'")))
     words = cut_lineage(_with_words(edges.select("instance").distinct(), name_words))
     openers = cut_lineage(_openers(found))
     seeded = F.col("strong") | F.col("pattern").isin([f"L {s}" for s in NAME_SEEDS]) | F.col("pattern").startswith("R <email>")
-    known_instances = edges.filter(seeded).select("instance").distinct()
+    seeds = edges.filter(seeded).select("instance").distinct()
 
     def count_words(instances: DataFrame) -> DataFrame:
-        counts = instances.join(words, "instance").groupBy("word").agg(F.count(F.lit(1)).alias("k"))
+        each = instances.join(words, "instance").select(F.explode(F.array_distinct("words")).alias("word"))
+        counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("k"))
         return cut_lineage(counts.join(openers, "word", "left").filter(F.coalesce("openings", F.lit(0)) <= 5 * F.col("k")).select("word", "k"))
 
-    patterns = None
-    for _ in range(rounds):
-        known_words = count_words(known_instances)
-        backed = skew_left_join(words.filter("place = 0"), known_words, ["word"]).select("instance", F.coalesce("k", F.lit(0)).alias("k"))
-        judged = cut_lineage(edges.join(backed, "instance", "left").withColumn("known", seeded | (F.coalesce("k", F.lit(0)) >= 2)))
-        patterns = cut_lineage(_accepted(judged.withColumn("kind", F.lit("name")), F.col("known")))
-        reached = judged.filter("known").join(patterns.select("pattern"), "pattern", "left_semi").select("instance")
-        known_instances = cut_lineage(reached.unionByName(judged.filter(seeded).select("instance")).distinct())
-    return patterns, count_words(known_instances)
+    def counted(known_words: DataFrame, *places: str) -> DataFrame:
+        """``words`` with the number of known names that have their first or last word."""
+        out = words
+        for place in places:
+            out = lookup_join(out, known_words.select(F.col("word").alias(place), F.col("k").alias(f"k_{place}")), [place]).withColumn(f"k_{place}", F.coalesce(f"k_{place}", F.lit(0)))
+        return out
+
+    # what precedes a comma may be a greeting, so such candidates back no pattern
+    inducing = edges.filter(~F.col("instance").contains(", "))
+    known, size = cut_lineage(seeds), -1
+    while True:
+        known_words = count_words(known)
+        backed = counted(known_words, "first").select("instance", (F.col("k_first") >= 2).alias("backed"))
+        judged = cut_lineage(inducing.join(backed, "instance", "left").select(F.lit("name").alias("kind"), "pattern", "instance", (seeded | F.coalesce("backed", F.lit(False))).alias("known")))
+        patterns = cut_lineage(_accepted(judged))
+        reached = lookup_join(judged.filter("known"), patterns.select("pattern", "n"), ["pattern"]).filter("n IS NOT NULL").select("instance")
+        known = cut_lineage(reached.unionByName(seeds).distinct())
+        before, size = size, known.count()
+        if size == before:
+            break
+    reversed_ = F.col("instance").contains(", ")
+    whole = counted(known_words, "first", "last")
+    never = reversed_ & (F.size("words") > 1) & (F.col("k_last") >= F.col("k_first"))
+    by_words = (F.size("words") > 1) & (F.col("k_first") >= 2) & (~reversed_ | (F.col("k_last") >= 2))
+    return patterns, known_words, cut_lineage(whole.select("instance", never.alias("never"), by_words.alias("by_words")))
 
 
 def single_patterns(found: DataFrame, words: DataFrame) -> DataFrame:
-    """Patterns of a family name that begins a sentence: the words after it, if enough different known names stand before them."""
-    singles = found.filter("kind = 'single'").groupBy("instance", "right").agg(F.sum("n").alias("n"))
+    """(right, n) of a family name that begins a sentence: the words after it, if enough different known names stand before them."""
+    singles = found.filter("kind = 'single'").select(F.lit("single").alias("kind"), F.col("right").alias("pattern"), "instance").distinct()
     # only endings with several different words before them can be patterns
-    several = singles.groupBy("right").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= 2 * LEAST_INSTANCES).select("right")
-    edges = singles.join(several, "right", "left_semi")
-    spelt = _with_words(edges.select("instance").distinct(), lambda x: [fold(x)])
-    known = skew_left_join(edges.join(spelt, "instance"), words, ["word"]).withColumn("known", F.col("k").isNotNull())
-    counted = known.groupBy("right").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("known").cast("double")).alias("k"))
-    score = F.col("k") / F.col("n")
-    return counted.filter((F.col("k") >= LEAST_KNOWN) & (score >= LEAST_SHARE["single"])).select(F.lit("single").alias("kind"), F.col("right").alias("pattern"), score.alias("score"), "n")
+    several = singles.groupBy("pattern").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= 2 * LEAST_INSTANCES).select("pattern")
+    edges = singles.join(several, "pattern", "left_semi")
+    spelt = _with_words(edges.select("instance").distinct(), lambda x: [fold(x)]).select("instance", F.col("first").alias("word"))
+    known = lookup_join(edges.join(spelt, "instance"), words, ["word"]).withColumn("known", F.col("k").isNotNull())
+    return cut_lineage(_accepted(known).select(F.col("pattern").alias("right"), "n"))
 
 
-def learn(found: DataFrame) -> Model:
-    """The model of a corpus: everything is counted over all occurrences.
+_SPAN = T.StructType([*_OCCURRENCE.fields[:5], T.StructField("kind", T.StringType())])
+_SPAN_COLUMNS = _SPAN.fieldNames()
 
-    What is brought to the driver and sent to executors is bounded: patterns and words that at
-    least the share ``RARE`` of all instances back, so at most 1 / ``RARE`` of each.
-    """
-    names, words = name_graph(found)
-    total = found.count()
-    least = max(1, int(total * RARE))
-    singles = single_patterns(found, words)
-    patterns = names.select("kind", "pattern", "score", "n").unionByName(number_patterns(found)).unionByName(singles).filter(F.col("n") >= least)
-    kept = words.filter(F.col("k") >= max(2, least))
-    return Model({(r.kind, r.pattern): r.score for r in patterns.collect()}, {r.word: r.k for r in kept.collect()})
-
-
-def decide(f: tuple, model: Model) -> str | None:
-    """The kind of an occurrence (kind, strong, instance, left, right), or None."""
-    kind, strong, instance, left, right = f
-    if strong:
-        return kind
-    keys = (f"L {left}", f"R {right}")
-    if kind == "number":
-        score = {k: max(model.patterns.get((k, p), 0.0) for p in keys) for k in ("phone", "idnum")}
-        if any(c.isalpha() for c in instance.replace("ext", "").replace("(US)", "")):
-            score["phone"] = 0.0
-        best = max(score, key=lambda k: score[k])
-        return best if score[best] else None
-    words = name_words(instance)
-    if not words:
-        return None
-    if ", " in instance and len(words) > 1 and model.words.get(words[-1], 0) >= model.words.get(words[0], 0):
-        return None
-    if any(("name", p) in model.patterns for p in keys):
-        return "name"
-    if len(words) < 2 or model.words.get(words[0], 0) < 2:
-        return None
-    return "name" if ", " not in instance or words[-1] in model.words else None
+
+def _beginnings(texts: DataFrame) -> DataFrame:
+    """(table_name, record_key, text_id, start, end, right) of every capitalized word that begins a sentence, with the three words after it."""
+    schema = T.StructType([*_OCCURRENCE.fields[:5], T.StructField("right", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            rows = [(table, key, text_id, m.start(1), m.end(1), m.group(2)) for table, key, text_id, body in zip(*[c.to_pylist() for c in batch.columns], strict=True) for m in SINGLE.finditer(body)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(target)], schema=target)
+
+    return _slim(texts).mapInArrow(run, schema)
 
 
 def find(texts: DataFrame) -> DataFrame:
     """Spans (table_name, record_key, text_id, start, end, kind) of personal data in ``texts`` (table_name, record_key, body).
 
     Mail addresses, postal addresses, numbers with a country's prefix and labelled identity numbers
-    are recognized by their shape; other numbers and names by patterns that these and labelled
-    names induce over the whole corpus. NULL and empty bodies have none. text_id is xxhash64 of the
-    body, as a record may come with several bodies. Offsets count code points.
+    are recognized by their shape and are the seeds; other numbers and names need patterns that
+    the seeds induce over the whole corpus. Patterns, words and verdicts on candidates are tables
+    that occurrences are joined with, so they may be as many as they are. NULL and empty bodies have
+    none. text_id is xxhash64 of the body, as a record may come with several bodies. Offsets count
+    code points.
     """
     found = cut_lineage(extract(texts))
-    model = learn(found)
-    spans = T.StructType([*_OCCURRENCE.fields[:5], T.StructField("kind", T.StringType())])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        target = to_arrow_schema(spans)
-        for batch in batches:
-            rows = zip(*[batch.column(c).to_pylist() for c in ("kind", "strong", "instance", "left", "right")], strict=True)
-            kinds = pa.array([decide(r, model) for r in rows], pa.string())
-            out = pa.RecordBatch.from_arrays([*[batch.column(i).cast(target.field(i).type) for i in range(5)], kinds.cast(target.field(5).type)], schema=target)
-            yield out.filter(kinds.is_valid())
-
-    accepted = found.filter("kind <> 'single'").mapInArrow(judge, spans)
-    endings = [p for (k, p) in model.patterns if k == "single"]
-    if not endings:
-        return accepted
-    ending = re.compile("|".join(map(re.escape, endings)))
-
-    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        target = to_arrow_schema(spans)
-        for batch in batches:
-            rows = []
-            for table, key, text_id, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                rows += [(table, key, text_id, m.start(1), m.end(1), "name") for m in SINGLE.finditer(body) if ending.fullmatch(m.group(2))]
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in target]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, target, strict=True)], schema=target)
-
-    likely = F.lit(False)
-    for e in endings:
-        likely = likely | F.col("body").contains(e)
-    begun = texts.filter(likely).select(F.col("table_name").cast("string"), F.col("record_key").cast("string"), F.xxhash64("body").alias("text_id"), "body").mapInArrow(singles, spans)
-    return accepted.unionByName(begun)
+    patterns, words, instances = name_graph(found)
+    numbered = number_patterns(found)
+    endings = single_patterns(found, words)
+    open_ = found.filter("NOT strong").withColumns({"l": F.concat(F.lit("L "), F.col("left")), "r": F.concat(F.lit("R "), F.col("right"))})
+    score = lambda k: numbered.filter(F.col("kind") == k).select(F.col("pattern").alias("l"), F.col("score").alias(k))
+    numbers = lookup_join(lookup_join(open_.filter("kind = 'number'"), score("phone"), ["l"]), score("idnum"), ["l"])
+    phone, idnum = F.when(~_lettered(F.col("instance")), F.col("phone")), F.col("idnum")
+    numbers = numbers.withColumn("kind", F.when(phone.isNotNull() & (idnum.isNull() | (phone >= idnum)), "phone").when(idnum.isNotNull(), "idnum")).filter("kind IS NOT NULL")
+    side = lambda c: patterns.select(F.col("pattern").alias(c), F.lit(True).alias(f"by_{c}"))
+    names = lookup_join(open_.filter("kind = 'name'"), instances, ["instance"]).filter("NOT never")
+    names = lookup_join(lookup_join(names, side("l"), ["l"]), side("r"), ["r"]).filter("by_words OR by_l OR by_r")
+    begun = lookup_join(_beginnings(texts), endings, ["right"]).filter("n IS NOT NULL").withColumn("kind", F.lit("name"))
+    parts = [p.select(*_SPAN_COLUMNS) for p in (found.filter("strong"), numbers, names, begun)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def mask(texts: DataFrame, spans: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ import pytest
 from strataloom.llm import pii as P
 
 
-def kinds_of(text, model=None):
-    model = model or P.Model({}, {})
-    return {k for f in P.occurrences(text) if (k := P.decide((f.kind, f.strong, f.instance, f.left, f.right), model))}
+def kinds_of(text):
+    """What the shape alone decides."""
+    return {f.kind for f in P.occurrences(text) if f.strong}
 
 
 @pytest.mark.parametrize(
@@ -79,6 +79,24 @@ def test_patterns_find_what_no_shape_tells(spark):
     assert all(masked[k].body_masked == b for k, b, kinds in rows if not any((k, x) in got for x in P.KINDS))
 
 
+def test_unrelated_texts_change_nothing(spark):
+    """The same records beside many others: neither patterns nor words need a share of the whole corpus."""
+    own = [("t", k, b) for k, b, _ in corpus()]
+    schema = "table_name string, record_key string, body string"
+    alone = {tuple(r) for r in P.find(spark.createDataFrame(own, schema)).select("record_key", "start", "end", "kind").collect()}
+    other = spark.range(40_000).selectExpr("'u' AS table_name", "concat('u', id) AS record_key", "concat(array_join(transform(sequence(1, 12), i -> concat('m', id, '.', i, '@host', id % 97, '.org')), ' '), ' build ', id + 5000000, '-', id % 31 + 1000) AS body")
+    both = P.find(spark.createDataFrame(own, schema).unionByName(other)).filter("table_name = 't'")
+    assert {tuple(r) for r in both.select("record_key", "start", "end", "kind").collect()} == alone
+
+
+def test_found_numbers_back_other_patterns(spark):
+    """A number known by one context is known in another one, which then finds numbers of its own."""
+    rows = [f"Call me on +49 30 23125 8{i:02d} today." for i in range(12)]
+    rows += [f"Call me on 555-01{i:02d}-22 today." for i in range(12)] + [f"He left 555-01{i:02d}-22 with us." for i in range(12)] + [f"He left 555-77{i:02d}-33 with us." for i in range(12)]
+    df = spark.createDataFrame([("t", f"r{i}", b) for i, b in enumerate(rows)], "table_name string, record_key string, body string")
+    assert {r.record_key for r in P.find(df).filter("kind = 'phone'").collect()} == {f"r{i}" for i in range(48)}
+
+
 def test_empty_table_and_very_long_text(spark):
     schema = "table_name string, record_key string, body string"
     assert P.find(spark.createDataFrame([], schema)).collect() == []
