@@ -18,8 +18,11 @@ from strataloom.session import cut_lineage
 KINDS = ["email", "phone", "idnum", "address", "name"]
 #: What stands in a text for what was found.
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-#: A pattern needs so many different instances, and a lower bound of the share of them that is known; the bound depends on its kind.
-LEAST_INSTANCES, LEAST_SHARE = 4, {"name": 0.5, "phone": 0.25, "idnum": 0.25, "single": 0.1}
+#: A pattern needs so many different instances, and a lower bound of the share of them that is known. A number may be of
+#: either kind or of none, so above a third is more than chance; words that begin a sentence are mostly no names.
+LEAST_INSTANCES, LEAST_SHARE = 4, {"name": 0.5, "phone": 0.4, "idnum": 0.4, "single": 0.1}
+#: A word that stands before the comma of "Word, Name" in so many candidates, and in so many times those where it is a family name, is a greeting.
+GREETED = 4
 #: Confidence of the lower bound: 95 % on one side.
 Z = 1.645
 #: Rows of the counters that a task keeps before it passes them on.
@@ -370,7 +373,7 @@ def name_graph(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     words = cut_lineage(_with_words(edges.select("instance").distinct(), name_words))
     openers = cut_lineage(_openers(found))
     seeded = F.col("strong") | F.col("pattern").isin([f"L {s}" for s in NAME_SEEDS]) | F.col("pattern").startswith("R <email>")
-    seeds = edges.filter(seeded).select("instance").distinct()
+    seeds = cut_lineage(edges.filter(seeded).select("instance").distinct())
 
     def count_words(instances: DataFrame) -> DataFrame:
         each = instances.join(words, "instance").select(F.explode(F.array_distinct("words")).alias("word"))
@@ -384,9 +387,13 @@ def name_graph(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             out = lookup_join(out, known_words.select(F.col("word").alias(place), F.col("k").alias(f"k_{place}")), [place]).withColumn(f"k_{place}", F.coalesce(f"k_{place}", F.lit(0)))
         return out
 
-    # what precedes a comma may be a greeting, so such candidates back no pattern
-    inducing = edges.filter(~F.col("instance").contains(", "))
-    known, size = cut_lineage(seeds), -1
+    # "Thanks, Anna" has the form of "Berg, Anna": a greeting stands before many names and is nobody's family name
+    comma = F.col("instance").contains(", ")
+    sides = words.groupBy("last").agg(F.sum(comma.cast("int")).alias("c"), F.sum((~comma).cast("int")).alias("f"))
+    greetings = sides.filter((F.col("c") >= GREETED) & (F.col("c") > GREETED * F.col("f"))).select("last")
+    greeted = cut_lineage(words.filter(comma).join(greetings, "last", "left_semi").select("instance"))
+    inducing = cut_lineage(edges.join(greeted, "instance", "left_anti"))
+    known, size = seeds, -1
     while True:
         known_words = count_words(known)
         backed = counted(known_words, "first").select("instance", (F.col("k_first") >= 2).alias("backed"))
@@ -397,10 +404,9 @@ def name_graph(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         before, size = size, known.count()
         if size == before:
             break
-    reversed_ = F.col("instance").contains(", ")
-    whole = counted(known_words, "first", "last")
-    never = reversed_ & (F.size("words") > 1) & (F.col("k_last") >= F.col("k_first"))
-    by_words = (F.size("words") > 1) & (F.col("k_first") >= 2) & (~reversed_ | (F.col("k_last") >= 2))
+    whole = counted(known_words, "first", "last").join(greeted.withColumn("_g", F.lit(True)), "instance", "left")
+    never = comma & (F.size("words") > 1) & (F.col("_g").isNotNull() | (F.col("k_last") >= F.col("k_first")))
+    by_words = (F.size("words") > 1) & (F.col("k_first") >= 2) & (~comma | (F.col("k_last") >= 2))
     return patterns, known_words, cut_lineage(whole.select("instance", never.alias("never"), by_words.alias("by_words")))
 
 
