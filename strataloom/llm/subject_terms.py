@@ -1,89 +1,82 @@
-"""Subject terms: fixed values. Two lists a subject, strong terms and terms that other subjects share; without accents, lower case."""
+"""Subject terms: fixed values. General vocabulary of each subject in four languages, two lists a subject: terms of its own, and words that other subjects share; without accents, lower case."""
 
 STRONG: dict[str, str] = {
-    "databases": """primary key, foreign key, sort key, composite key, missing index, table index, query planner, query plan, slow query, planner scan, full scan, scans all, sql, join order,
-        join fans out, inner join, left join, row count, come back twice because, read replica, replica, replication lag, transaction log, open transaction, isolation level, deadlock, writers wait,
-        table lock, row lock, vacuum, write amplification, partition pruning, materialised view, materialized view, schema migration, column type, score column, new column, backfill, stored procedure,
-        table has grown, adding an index, cut the select, database, postgres, mysql, sqlite, clickhouse, tablespace, normal form, nosql, b tree, upsert,
-        fremdschlussel, primarschlussel, abfrageplan, spaltentyp, tabellensperre, lesekopie, datenbank, index der tabelle, schema migration, langsame abfrage,
-        cle etrangere, cle primaire, plan de requete, type de colonne, verrou de table, transaction ouverte, index manquant, migration du schema, base de donnees, requete lente,
-        clave foranea, clave primaria, plan de consulta, tipo de columna, bloqueo de tabla, indice que falta, migracion del esquema, base de datos, consulta lenta""",
-    "education": """teacher, pupil, school, classroom, lesson, homework, exam attempt, exam, university, seminar, lecture, semester, quiz, tutoring, enrolment, enrollment, reading list, grade book, gradebook,
-        handed in, marks are shown, curriculum, syllabus, student, course enrolment, parents get, tuition, kindergarten, textbook, diploma, campus,
-        lehrkraft, lehrerin, schulklasse, schule, schuler, hausaufgabe, notenbuch, stundenplan, prufungsversuch, unterricht, universitat, klausur,
-        enseignante, enseignant, salle de classe, carnet de notes, devoir a rendre, emploi du temps, examen, ecole, eleve, professeur, universite,
-        profesora, profesor, aula, escuela, alumno, libro de notas, tarea, deberes, horario escolar, universidad, intento de examen""",
-    "finance": """invoice, refund, credit note, card charge, charged twice, card was declined, discount code, coupon, tax rate, vat, currency, rounding, price, overdue balance, payment, trial end, usage bill,
-        billing start, billing starts, free plan, subscription plan, subscription, spending cap, revenue report, revenue, annual contract price, euros, dollars, orders from abroad, one cent, money back,
-        the bill, quote was in, ledger, bookkeeping, payroll, accounting, dunning, bank transfer, interest rate, budget,
-        rechnung, gutschrift, ruckerstattung, monatspreis, steuersatz, zahlungsart, mahnung, umsatz, mehrwertsteuer, wahrung, abonnement,
-        facture, remboursement, abonnement mensuel, moyen de paiement, taux de taxe, avoir, tva, devise, tarif, prix mensuel,
-        factura, reembolso, nota de credito, precio mensual, forma de pago, tipo de impuesto, iva, moneda, suscripcion""",
-    "frontend": """dropdown menu, dropdown, css, stylesheet, hover state, hover, flex layout, page header, button style, button jumps, sidebar, icon set, modal dialog, popup, tooltip, scroll position, key handler, keyboard focus,
-        form input, component tree, render cycle, drag handle, chart legend, dark theme, dark colours, colours come from, palette, hex, spinner, list flickers, narrow screens, menu covers, headline, clicking outside,
-        finishes loading, viewport, html, browser, dom, react component, font size, placeholder text, breadcrumb, navbar,
-        schaltflache, auswahlmenu, seitenleiste, tastaturfokus, eingabefeld, schriftgrosse, dunkles design, bildlauf,
-        menu deroulant, barre laterale, bouton, champ de saisie, info bulle, mise en page, theme sombre, feuille de style,
-        menu desplegable, barra lateral, boton, campo de texto, diseno de la pagina, tema oscuro, hoja de estilo""",
-    "health": """patient, nurse, doctor, hospital, clinic, clinical, ward dashboard, ward, surgery, blood, vaccination, vaccine, prescription, dosage, dose, symptom, therapy, triage, care pathway, lab result, allergies, allergy,
-        appointments vanish, wrong chart, diagnosis, medication, pharmacy, medical, physician, illness,
-        patientenakte, impfliste, laborbefund, therapieplan, blutdruck, blutdruckwert, dosierung, krankenhaus, arzt, pflege,
-        dossier patient, ordonnance, posologie, plan de soins, tension arterielle, resultat de laboratoire, hopital, medecin, vaccin,
-        historia clinica, receta medica, dosis, plan de terapia, presion arterial, resultado de laboratorio, paciente, medico, vacuna""",
-    "law": """court order, court, lawyer, regulator, regulation, licence clause, license clause, licence, liability, clause, consent, cookie consent, consent banner, banner must offer, refusal, terms of service, privacy notice, legal hold, legal,
-        right to erasure, erasure, erase everything, data processing agreement, processing agreement, processor has to, subprocessor, retention duty, copyright, compliance, export regulation, annex, outside the union,
-        keep the data, contract forbids, sign off on the wording, gdpr, statute, attorney, trademark, patent, litigation,
-        einwilligung, lizenzklausel, gerichtsbeschluss, aufbewahrungspflicht, auftragsverarbeitung, datenschutzhinweis, datenschutz, anwalt, gericht, haftung,
-        consentement, clause de licence, decision de justice, mentions legales, droit a l effacement, obligation de conservation, avocat, tribunal, reglement,
-        consentimiento, clausula de licencia, orden judicial, aviso legal, derecho de supresion, deber de conservacion, abogado, reglamento""",
-    "machine_learning": """embedding, embedding vector, feature vector, classifier, training run, training set, learning rate, loss curve, gradient, attention layer, model weights, fine tuned, fine tuning, label noise, labelled wrongly,
-        evaluation set, prompt template, the prompt, token budget, hallucinated, hallucination, inference, overfit, epoch, gpu, smaller model, near identical texts, file names that do not exist, neural, language model, llm, transformer,
-        test set, hyperparameter, backpropagation, reinforcement learning, checkpoint weights, tokens and the score,
+    "databases": """primary key, foreign key, sort key, composite key, surrogate key, unique constraint, missing index, secondary index, covering index, query planner, query plan, query optimizer, slow query, full scan, sequential scan, sql, nosql, join order,
+        inner join, outer join, left join, hash join, row count, read replica, replica, replication lag, transaction log, write ahead log, open transaction, isolation level, deadlock, table lock, row lock, vacuum, write amplification, partition pruning, sharding,
+        materialised view, materialized view, schema migration, column type, backfill, stored procedure, trigger function, database, postgres, mysql, sqlite, clickhouse, oracle, mongodb, redis, tablespace, normal form, b tree, upsert, rollback segment, data warehouse, connection pool,
+        fremdschlussel, primarschlussel, abfrageplan, spaltentyp, tabellensperre, lesekopie, datenbank, langsame abfrage, transaktion, replikation,
+        cle etrangere, cle primaire, plan de requete, type de colonne, verrou de table, transaction ouverte, index manquant, base de donnees, requete lente,
+        clave foranea, clave primaria, plan de consulta, tipo de columna, bloqueo de tabla, indice que falta, base de datos, consulta lenta, migracion del esquema""",
+    "education": """teacher, pupil, school, classroom, lesson, homework, exam, examination, university, college, seminar, lecture, lecturer, semester, quiz, tutoring, tutor, enrolment, enrollment, reading list, grade book, gradebook, report card, timetable,
+        curriculum, syllabus, student, tuition, kindergarten, textbook, diploma, degree course, campus, scholarship, pedagogy, coursework, school year, dissertation,
+        lehrkraft, lehrer, lehrerin, schulklasse, schule, schuler, hausaufgabe, notenbuch, stundenplan, prufung, unterricht, universitat, klausur, zeugnis, vorlesung,
+        enseignante, enseignant, salle de classe, carnet de notes, devoirs, emploi du temps, examen, ecole, eleve, professeur, universite, lycee,
+        profesora, profesor, aula, escuela, alumno, libro de notas, tarea, deberes, horario escolar, universidad, asignatura""",
+    "finance": """invoice, refund, credit note, credit card, debit card, card charge, discount code, coupon, tax rate, sales tax, vat, currency, exchange rate, price, pricing, overdue balance, payment, payment method, subscription plan, subscription, spending cap, revenue report, revenue,
+        euros, dollars, money, ledger, bookkeeping, payroll, accounting, accountant, dunning, bank account, bank transfer, interest rate, budget, mortgage, loan, shareholder, dividend, balance sheet, cash flow, profit, stock market, audit of accounts, expense,
+        rechnung, gutschrift, ruckerstattung, monatspreis, steuersatz, zahlungsart, zahlung, mahnung, umsatz, mehrwertsteuer, wahrung, abonnement, buchhaltung, bankkonto,
+        facture, remboursement, abonnement mensuel, moyen de paiement, paiement, taux de taxe, avoir, tva, devise, tarif, prix mensuel, comptabilite,
+        factura, reembolso, nota de credito, precio mensual, forma de pago, tipo de impuesto, iva, moneda, suscripcion, contabilidad""",
+    "frontend": """dropdown, dropdown menu, css, css variable, stylesheet, hover state, hover, flexbox, flex layout, page header, button style, sidebar, icon set, modal dialog, popup, tooltip, scroll position, key handler, keyboard focus, web page, landing page,
+        form input, component tree, render cycle, rerender, drag handle, chart legend, dark theme, dark mode, palette, spinner, viewport, html, browser, dom, react, react component, font size, placeholder text, breadcrumb, navbar, responsive layout, web design, javascript framework, typography,
+        schaltflache, auswahlmenu, seitenleiste, tastaturfokus, eingabefeld, schriftgrosse, dunkles design, bildlauf, benutzeroberflache,
+        menu deroulant, barre laterale, bouton, champ de saisie, info bulle, mise en page, theme sombre, feuille de style, navigateur,
+        menu desplegable, barra lateral, boton, campo de texto, diseno de la pagina, tema oscuro, hoja de estilo, navegador""",
+    "health": """patient, nurse, doctor, hospital, clinic, clinical, hospital ward, surgery, surgeon, blood, blood pressure, vaccination, vaccine, prescription, dosage, dose, symptom, therapy, triage, care pathway, care plan, lab result, allergies, allergy,
+        diagnosis, medication, pharmacy, medical, medicine, physician, illness, disease, infection, fever, chronic, cancer, diabetes, ambulance, midwife, wellbeing, mental health, dental,
+        patientenakte, impfliste, impfung, laborbefund, therapieplan, blutdruck, blutdruckwert, dosierung, krankenhaus, arzt, arztin, pflege, krankheit,
+        dossier patient, ordonnance, posologie, plan de soins, tension arterielle, resultat de laboratoire, hopital, medecin, vaccin, maladie,
+        historia clinica, receta medica, dosis, plan de terapia, presion arterial, resultado de laboratorio, paciente, medico, vacuna, enfermedad""",
+    "law": """court order, court, judge, lawyer, solicitor, regulator, regulation, licence clause, license clause, licence, liability, clause, consent, cookie consent, consent banner, terms of service, privacy notice, privacy policy, legal hold, legal, lawsuit, plaintiff, defendant,
+        right to erasure, erasure, data processing agreement, processing agreement, subprocessor, retention duty, retention period, copyright, compliance, export regulation, annex, gdpr, statute, legislation, attorney, trademark, patent, litigation, verdict, appeal court, data protection, contract law, parliament act,
+        einwilligung, lizenzklausel, gerichtsbeschluss, aufbewahrungspflicht, auftragsverarbeitung, datenschutzhinweis, datenschutz, anwalt, gericht, haftung, gesetz, klage,
+        consentement, clause de licence, decision de justice, mentions legales, droit a l effacement, obligation de conservation, avocat, tribunal, reglement, loi,
+        consentimiento, clausula de licencia, orden judicial, aviso legal, derecho de supresion, deber de conservacion, abogado, reglamento, demanda judicial""",
+    "machine_learning": """embedding, embedding vector, feature vector, classifier, training run, training set, training data, learning rate, loss curve, loss function, gradient, gradient descent, attention layer, model weights, fine tuned, fine tuning, label noise, mislabelled,
+        evaluation set, validation set, prompt template, token budget, hallucinated, hallucination, inference, overfit, overfitting, epoch, gpu, neural, neural network, deep learning, machine learning, language model, llm, transformer, random forest, decision tree, clustering algorithm,
+        test set, hyperparameter, backpropagation, reinforcement learning, convolution, supervised, unsupervised, recommender,
         trainingslauf, lernrate, verlustkurve, klassifikator, modellgewichte, einbettungsvektor, maschinelles lernen, neuronales netz,
-        entrainement du modele, taux d apprentissage, classifieur, poids du modele, vecteur d embedding, jeu d evaluation, apprentissage automatique,
-        entrenamiento del modelo, tasa de aprendizaje, clasificador, pesos del modelo, vector de embedding, conjunto de evaluacion, aprendizaje automatico""",
-    "mobile": """android, ios, iphone, ipad, app store, store review, app crash, crash on launch, the app, swipe, screen rotation, push notification, background fetch, deep link, offline mode, tablet, battery drain, touch target,
-        sdk for phones, phone, handset, simulator, store rejected, turned sideways, pinching, no signal, notifications arrive, mobile app, apk, touchscreen, smartphone,
-        app absturz, android version, akkuverbrauch, bildschirmdrehung, push nachricht, wischgeste, handy,
-        plantage de l appli, version android, batterie du telephone, rotation de l ecran, notification push, geste de balayage, tablette,
+        entrainement du modele, taux d apprentissage, classifieur, poids du modele, vecteur d embedding, jeu d evaluation, apprentissage automatique, reseau de neurones,
+        entrenamiento del modelo, tasa de aprendizaje, clasificador, pesos del modelo, vector de embedding, conjunto de evaluacion, aprendizaje automatico, red neuronal""",
+    "mobile": """android, ios, iphone, ipad, app store, play store, store review, app crash, swipe, screen rotation, push notification, background fetch, deep link, offline mode, tablet, battery, battery drain, touch target,
+        phone, handset, simulator, emulator, mobile app, mobile device, apk, touchscreen, smartphone, home screen, gesture, sim card, bluetooth, device permission, swiftui, kotlin,
+        app absturz, android version, akkuverbrauch, bildschirmdrehung, push nachricht, wischgeste, handy, mobilgerat,
+        plantage de l appli, version android, batterie du telephone, rotation de l ecran, notification push, geste de balayage, tablette, telephone portable,
         cierre de la app, version de android, bateria del telefono, giro de pantalla, notificacion push, gesto tactil, tableta, movil""",
-    "operations": """autoscaler, load balancer, canary, rollout, rolled back to, rollback, deploy pipeline, deployment, container image, container, pod restart, pods, kubernetes, node pool, nodes ran, cluster upgrade, cluster, health probe,
-        alert rule, on call, paged, outage, service was down, restarting the service, dns, backup job, nightly backup, backup, disk pressure, out of disk, memory limit, too much memory, log volume, traffic is shifted, incident,
-        runbook, uptime, terraform, helm chart, latency budget, failover,
-        lastverteiler, bereitschaftsdienst, sicherungslauf, speichergrenze, container abbild, ausrollen, ausfall des clusters, ausfall,
-        repartiteur de charge, astreinte, image du conteneur, limite de memoire, panne du cluster, deploiement, sauvegarde,
+    "operations": """autoscaler, autoscaling, load balancer, canary, canary release, rollout, rollback, deploy pipeline, deployment, container image, container, docker, pod restart, pods, kubernetes, node pool, cluster upgrade, cluster, health probe,
+        alert rule, alerting, on call, pager, outage, dns, backup job, nightly backup, backup, disk pressure, memory limit, log volume, incident, postmortem,
+        runbook, uptime, downtime, terraform, helm chart, latency budget, failover, service level, monitoring, observability, infrastructure, provisioning, blue green, data center, server rack,
+        lastverteiler, bereitschaftsdienst, sicherungslauf, speichergrenze, container abbild, ausrollen, ausfall des clusters, ausfall, datensicherung,
+        repartiteur de charge, astreinte, image du conteneur, limite de memoire, panne du cluster, deploiement, sauvegarde, supervision,
         balanceador de carga, guardia, imagen del contenedor, limite de memoria, caida del cluster, despliegue, copia de seguridad""",
-    "security": """access token, csrf, cipher, two factor, brute force, password, login attempt, permission check, role grant, rights beyond, single sign on, session hijack, secret rotation, key rotation, signed webhook, audit trail,
-        vulnerability, secret ended up, without escaping, lock the account, wrong tries, reset mail, without signing in, old keys stay valid, revoked, encryption, phishing, xss, sql injection, malware, firewall, exploit, oauth,
-        passwort, anmeldeversuch, sicherheitslucke, schlusselwechsel, zwei faktor, zugriffsrecht, verschlusselung,
+    "security": """access token, csrf, csrf cookie, cipher, two factor, brute force, password, login attempt, permission check, role grant, privilege escalation, single sign on, session hijack, secret rotation, key rotation, signed webhook, audit trail,
+        vulnerability, cve, revoked, encryption, encrypted, phishing, xss, cross site scripting, sql injection, malware, ransomware, firewall, exploit, oauth, authentication, authorization, attacker, hacker, intrusion, penetration test, certificate, data breach,
+        passwort, anmeldeversuch, sicherheitslucke, schlusselwechsel, zwei faktor, zugriffsrecht, verschlusselung, angreifer,
         mot de passe, tentative de connexion, faille de securite, jeton d acces, double authentification, droit d acces, chiffrement,
         contrasena, intento de acceso, fallo de seguridad, token de acceso, doble factor, permiso de acceso, cifrado""",
-    "sport": """coach, referee, tournament, league table, league, match score, halftime, both halves, penalty shootout, shootout, goal keeper, goalkeeper, goals scored, away game, season ticket, relay team, marathon, lap time, runner, final whistle,
-        standings, the club, extra time, minutes played, players of one side, training session, stadium, championship, athlete, football, tennis,
-        trainerin, auswartsspiel, torhuterin, tabellenplatz, elfmeter, rundenzeit, verein, halbzeit, turnier, staffel, liga, dauerkarte, meisterschaft,
-        classement du championnat, match a l exterieur, score du match, mi temps, temps au tour, gardienne, entraineuse, tirs au but, tournoi, championnat, arbitre,
-        partido fuera, partido, tanda de penaltis, portera, entrenadora, tiempo por vuelta, torneo, descanso, campeonato, clasificacion de la liga, marcador""",
-    "statistics": """confidence interval, p value, significance, standard error, standard deviation, sample size, bootstrap sample, effect size, control group, hypothesis, variance, regression line, outlier, percentile, median, quantile,
-        prior distribution, posterior, long tail, distribution has, the mean hides, the mean, per cent bounds, users per arm, just noise, uplift, repeated looks, experiment too early, correlated, correlation, conversion rate test, a b test, bayesian, anova,
-        konfidenzintervall, kontrollgruppe, standardfehler, stichprobe, varianz, signifikanz, mittelwert, verteilung,
-        intervalle de confiance, groupe temoin, erreur type, echantillon, ecart median, ecart type, moyenne,
-        intervalo de confianza, grupo de control, error estandar, muestra, mediana, varianza, media aritmetica""",
+    "sport": """coach, referee, tournament, league table, league, match score, halftime, penalty shootout, shootout, goalkeeper, goal keeper, away game, home game, season ticket, relay team, marathon, lap time, runner, final whistle,
+        standings, sports club, extra time, training session, stadium, championship, athlete, football, soccer, basketball, tennis, rugby, cricket, cyclist, swimmer, olympic, medal, scored, quarter final, semi final, midfielder, striker, world cup,
+        trainerin, auswartsspiel, torhuterin, torwart, tabellenplatz, elfmeter, rundenzeit, verein, halbzeit, turnier, staffel, liga, dauerkarte, meisterschaft, fussball,
+        classement du championnat, match a l exterieur, score du match, mi temps, temps au tour, gardienne, gardien de but, entraineuse, entraineur, tirs au but, tournoi, championnat, arbitre,
+        partido fuera, partido, tanda de penaltis, portera, portero, entrenadora, entrenador, tiempo por vuelta, torneo, descanso, campeonato, clasificacion de la liga, marcador""",
+    "statistics": """confidence interval, p value, significance, statistically significant, standard error, standard deviation, sample size, bootstrap sample, effect size, control group, hypothesis, null hypothesis, variance, regression line, linear regression, outlier, percentile, median, quantile,
+        prior distribution, posterior, long tail, normal distribution, uplift, correlated, correlation, a b test, bayesian, anova, random sample, census, survey data, statistic, margin of error, chi squared, t test, confounder, histogram,
+        konfidenzintervall, kontrollgruppe, standardfehler, stichprobe, varianz, signifikanz, mittelwert, verteilung, statistik,
+        intervalle de confiance, groupe temoin, erreur type, echantillon, ecart median, ecart type, moyenne, statistique,
+        intervalo de confianza, grupo de control, error estandar, muestra, mediana, varianza, media aritmetica, estadistica""",
 }
 
 SHARED: dict[str, str] = {
-    "databases": "table, index, join, query, rows, column, key, session, select, partition, schema, planner, migration",
-    "education": "class, course, test, marks, lecture, training",
-    "finance": "bill, balance, card, charge, contract, plan, cent",
-    "frontend": "theme, menu, button, header, legend, table, component, layout, form, list, session, key, label",
-    "health": "record, dashboard, chart, test",
-    "law": "contract, notice, audit, banner, hold, agreement",
-    "machine_learning": "model, training, label, prompt, score, feature, test, vector, tokens, batches",
-    "mobile": "app, build, screen, touch, launch, session",
-    "operations": "image, service, node, record, deploy, pressure, probe, restart",
-    "security": "key, session, token, secret, role, access, permission, webhook, test",
-    "sport": "match, game, score, team, season, table, training, lap, class",
-    "statistics": "sample, distribution, bounds, experiment, test, score, model, session",
+    "databases": "table, index, join, query, rows, column, key, session, select, partition, schema, planner, migration, storage",
+    "education": "class, course, test, marks, training, grade, learning",
+    "finance": "bill, balance, card, charge, contract, plan, cost, billing, account",
+    "frontend": "theme, menu, button, header, legend, table, component, layout, form, list, session, key, label, page, screen",
+    "health": "record, dashboard, chart, test, care, treatment",
+    "law": "contract, notice, audit, banner, hold, agreement, act, rule, policy",
+    "machine_learning": "model, training, label, prompt, score, feature, test, vector, tokens, batches, learning, prediction",
+    "mobile": "app, build, screen, touch, launch, session, device",
+    "operations": "image, service, node, record, deploy, pressure, probe, restart, server, release",
+    "security": "key, session, token, secret, role, access, permission, webhook, test, account, protection",
+    "sport": "match, game, score, team, season, table, training, lap, class, goal, player, club",
+    "statistics": "sample, distribution, bounds, experiment, test, score, model, session, mean, estimate",
 }
-
-#: A sentence with one of these mentions its subject in passing.
-ASIDES = "as an aside, by the way, incidentally, is another matter, nebenbei, ubrigens, anderes thema, au passage, autre sujet, par ailleurs, por cierto, otro tema, de paso"

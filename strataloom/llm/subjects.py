@@ -1,31 +1,43 @@
-"""Subject areas of documents: curated weighted terms matched by an automaton, rarity, calibrated thresholds."""
+"""Subject areas of documents: weighted terms, curated and learned, matched by an automaton; rarity, length, calibrated thresholds."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.llm import subject_terms
 from strataloom.session import cut_lineage
 
-#: Weight of a term that other subjects share; a strong term has 1.
+#: Weight of a term that other subjects share; a term of a subject's own has 1.
 SHARED_WEIGHT = 0.25
 #: A term is worth at least this part of its weight, however common; matters in small corpora only.
 LEAST_RARITY = 0.5
-#: Labelled documents that thresholds are calibrated on, taken by a hash of their key.
+#: Labelled documents that terms, marks and thresholds are fitted on, taken by a hash of their key: half for the first two, half for thresholds.
 MAX_LABELLED = 50_000
-#: Thresholds without labels: least evidence, and least share of a document's evidence.
-DEFAULT_THRESHOLDS = (1.0, 0.2)
+#: Words of a learned term or mark, documents or sentences that have it, and the lower bound (95 %) of the share of these that speaks for it.
+MAX_WORDS, LEAST_SEEN, LEAST_SHARE = 3, 5, 0.7
+#: Learned terms a subject, and marks of passing mentions, at most: the best backed.
+MAX_LEARNED = 1_000
+#: A mark of passing mentions stands beside at least so many subjects.
+MARK_SUBJECTS = 3
+#: Counters that a task keeps before it passes them on.
+COUNTERS = 200_000
+#: Thresholds without labels, or with fewer labels of a subject: least evidence, and least evidence a sentence.
+DEFAULT_THRESHOLDS, LEAST_LABELS = (0.5, 0.12), 20
+#: Confidence of lower bounds: 95 % on one side.
+Z = 1.645
 
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-_NOT_WORD = re.compile(r"[^\w]+|_+")
+_NOT_WORD = re.compile(r"(?:[^\w\n]|_)+")
 _SENTENCE = re.compile(r"(?<=[.?!…])\s+|[\r\n]+|</?(?:p|li|td|h\d|br|div)\b[^>]*>")
 _MOJIBAKE = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]{1,3}")
 
@@ -42,81 +54,202 @@ def _mend(m: re.Match) -> str:
 
 
 def plain(text: str) -> str:
-    """Lower case words without accents, parted by single blanks; names in code are split into their words."""
-    text = _CAMEL.sub(" ", text)
-    text = unicodedata.normalize("NFKD", text.lower().replace("ß", "ss").replace("ø", "o").replace("æ", "ae"))
-    text = "".join(c for c in text if not unicodedata.combining(c))
+    """Lower case words without accents, parted by single blanks, a line a sentence; names in code are split into their words."""
+    text = _SENTENCE.sub("\n", _CAMEL.sub(" ", text)).lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text.replace("ß", "ss").replace("ø", "o").replace("æ", "ae"))
+        text = "".join(c for c in text if not unicodedata.combining(c))
     return _NOT_WORD.sub(" ", text).strip()
 
 
+def sentences_of(text: str | None) -> list[str]:
+    """The sentences of a text as ``plain`` words; those without words are left out."""
+    text = text or ""
+    if not text.isascii():
+        text = _MOJIBAKE.sub(_mend, text)
+    return [s for line in plain(text).split("\n") if (s := line.strip())]
+
+
 def _terms(text: str) -> list[str]:
     return [t for t in (plain(x) for x in text.replace("\n", " ").split(",")) if t]
 
 
 @cache
-def lexicon() -> list[tuple[str, str, float]]:
-    """(term, subject, weight) of all terms; the subject of an aside is empty."""
+def curated() -> tuple[tuple[str, str, float], ...]:
+    """(term, subject, weight) of the curated terms."""
     rows = [(t, s, 1.0) for s, text in subject_terms.STRONG.items() for t in _terms(text)]
     strong = {(t, s) for t, s, _ in rows}
     rows += [(t, s, SHARED_WEIGHT) for s, text in subject_terms.SHARED.items() for t in _terms(text) if (t, s) not in strong]
-    return rows + [(t, "", 0.0) for t in _terms(subject_terms.ASIDES)]
+    return tuple(dict.fromkeys(rows))
+
+
+class Lexicon:
+    """Weighted terms, (term, subject, weight) by place; a mark of passing mentions has no subject. One automaton finds them all."""
+
+    def __init__(self, rows: Sequence[tuple[str, str, float]]) -> None:
+        self.rows = list(rows)
+        self._machine = None
+
+    def __getstate__(self) -> dict:
+        return {"rows": self.rows, "_machine": None}
+
+    def machine(self) -> object:
+        """An automaton of the terms, each with its places; a term matches its plural as well."""
+        if self._machine is None:
+            import ahocorasick
+
+            places: dict[str, list[int]] = {}
+            for i, (term, _, _) in enumerate(self.rows):
+                places.setdefault(term, []).append(i)
+            self._machine = ahocorasick.Automaton()
+            for term, where in places.items():
+                self._machine.add_word(f" {term}", (len(term), where))
+            self._machine.make_automaton()
+        return self._machine
+
+    def sentence_hits(self, sentence: str) -> list[int]:
+        """Places of the terms of a plain sentence; of overlapping terms of a subject the longest."""
+        padded = f" {sentence} "
+        found: list[tuple[int, int, int]] = []
+        for end, (length, where) in self.machine().iter(padded):
+            rest = padded[end + 1 : end + 4].split(" ", 1)
+            if len(rest) > 1 and rest[0] in _ENDINGS:
+                found += [(end - length + 1, -end, i) for i in where]
+        keep, reach = [], {}
+        for _, end, i in sorted(found):
+            subject = self.rows[i][1]
+            if -end > reach.get(subject, -1):
+                reach[subject] = -end
+                keep.append(i)
+        return keep
 
+    def document_hits(self, text: str | None) -> tuple[int, list[list[int]]]:
+        """(sentences, the hits of each sentence that has any); a sentence with a mark mentions its subject in passing and has none."""
+        lines = sentences_of(text)
+        hits = [h for line in lines if (h := self.sentence_hits(line)) and not any(self.rows[i][1] == "" for i in h)]
+        return len(lines), hits
 
-@cache
-def automaton() -> object:
-    """One automaton of all terms, each with its places in the lexicon; a term matches its plural as well."""
-    import ahocorasick
 
-    places: dict[str, list[int]] = {}
-    for i, (term, _, _) in enumerate(lexicon()):
-        places.setdefault(term, []).append(i)
-    machine = ahocorasick.Automaton()
-    for term, where in places.items():
-        machine.add_word(f" {term}", (len(term), where))
-    machine.make_automaton()
-    return machine
+_ENDINGS = ("", "s", "es", "n", "en")
 
 
-_ENDINGS = ("", "s", "es", "n", "en")
+def _grams(sentence: str, least: int = 1, most: int = MAX_WORDS) -> set[str]:
+    """Runs of ``least`` to ``most`` words of letters; a single word has at least four."""
+    words = sentence.split()
+    out = set()
+    for i in range(len(words)):
+        for j in range(i, min(i + most, len(words))):
+            if not words[j].isalpha():
+                break
+            if j - i + 1 >= least and (j > i or len(words[i]) > 3):
+                out.add(" ".join(words[i : j + 1]))
+    return out
 
 
-def sentence_hits(sentence: str) -> list[int]:
-    """Places in the lexicon of the terms of a sentence; of overlapping terms of a subject the longest."""
-    padded = f" {plain(sentence)} "
-    found: list[tuple[int, int, list[int]]] = []
-    for end, (length, where) in automaton().iter(padded):
-        rest = padded[end + 1 : end + 4].split(" ", 1)
-        if len(rest) > 1 and rest[0] in _ENDINGS:
-            found.append((end - length + 1, end + 1, where))
-    rows, keep = lexicon(), []
-    for start, end, where in found:
-        for i in where:
-            if not any(a <= start and end <= b and (b - a) > (end - start) and any(rows[j][1] == rows[i][1] for j in other) for a, b, other in found):
-                keep.append(i)
-    return keep
+def _counted(df: DataFrame, fn) -> DataFrame:
+    """(gram, subject, n): the sums of what ``fn`` counts in the rows of ``df``, added up in the tasks first."""
+    schema = T.StructType([T.StructField("gram", T.StringType()), T.StructField("subject", T.StringType()), T.StructField("n", T.LongType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-def document_hits(text: str | None) -> list[list[int]]:
-    """The hits of each sentence that has any; sentences that mention something in passing have none."""
-    out = []
-    for sentence in _SENTENCE.split(_MOJIBAKE.sub(_mend, text or "")):
-        if sentence and (hits := sentence_hits(sentence)) and not any(lexicon()[i][1] == "" for i in hits):
-            out.append(hits)
-    return out
+        target = to_arrow_schema(schema)
+        counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            rows = [(g, s, n) for (g, s), n in counts.items()]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(target)], schema=target)
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                counts.update(fn(*row))
+            if len(counts) > COUNTERS:
+                yield flush()
+        yield flush()
 
+    return df.mapInArrow(run, schema).groupBy("gram", "subject").agg(F.sum("n").alias("n"))
 
-def match_terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(``key``, sentences): for each document the lexicon places hit in each of its sentences; whole texts."""
+
+def _bound(k: Column, n: Column) -> Column:
+    """Lower bound of a share k / n (Wilson)."""
+    share = k / n
+    return (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+
+
+def learned_terms(labelled: DataFrame) -> list[tuple[str, str, float]]:
+    """(term, subject, weight) of word runs that tell a subject in ``labelled`` (text, subjects), weighted by the bound of their share.
+
+    At most ``MAX_LEARNED`` a subject.
+    """
+
+    def count(text: str, subjects: list[str]) -> list[tuple[str, str]]:
+        grams = set().union(*map(_grams, sentences_of(text)))
+        return [(g, s) for g in grams for s in ["", *subjects]]
+
+    counts = _counted(labelled.select("text", "subjects"), count)
+    whole = counts.filter("subject = ''").select("gram", F.col("n").alias("_all")).filter(F.col("_all") >= LEAST_SEEN)
+    rated = counts.filter("subject <> ''").join(whole, "gram").withColumn("weight", _bound(F.col("n"), F.col("_all"))).filter(F.col("weight") >= LEAST_SHARE)
+    best = Window.partitionBy("subject").orderBy(F.desc("n"), "gram")
+    top = rated.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= MAX_LEARNED).orderBy("subject", "gram").collect()
+    return [(r.gram, r.subject, r.weight) for r in top]
+
+
+def learned_marks(labelled: DataFrame, lexicon: Lexicon) -> list[str]:
+    """Word runs of sentences that mention a subject in passing: those whose subject mostly isn't one of the document's, whatever it is.
+
+    ``labelled``: text, subjects. At most ``MAX_LEARNED``.
+    """
+    rows = lexicon.rows
+
+    def count(text: str, subjects: list[str]) -> list[tuple[str, str]]:
+        out = []
+        for line in sentences_of(text):
+            if hits := lexicon.sentence_hits(line):
+                subject = rows[max(hits, key=lambda i: (rows[i][2], rows[i][1]))][1]
+                out += [(g, "" if subject in subjects else subject) for g in _grams(line, 2)]
+        return out
+
+    each = _counted(labelled.select("text", "subjects"), count)
+    passing = F.col("subject") != ""
+    rated = each.groupBy("gram").agg(F.sum("n").alias("_all"), F.sum(F.when(passing, F.col("n")).otherwise(0)).alias("n"), F.sum(passing.cast("int")).alias("subjects"))
+    kept = rated.filter((F.col("_all") >= LEAST_SEEN) & (F.col("subjects") >= MARK_SUBJECTS) & (_bound(F.col("n"), F.col("_all")) >= LEAST_SHARE))
+    return sorted(r.gram for r in kept.orderBy(F.desc("n"), "gram").limit(MAX_LEARNED).collect())
+
+
+def labelled_sample(labels: DataFrame, key: str) -> DataFrame:
+    """(``key``, subjects, half) of at most ``MAX_LABELLED`` labelled documents; subjects outside the lexicon say that none applies."""
+    known = labels.select(key, "subject").dropna().groupBy(key).agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
+    hashed = known.withColumn("_h", F.xxhash64(key)).orderBy("_h", key).limit(MAX_LABELLED)
+    listed = F.array(*map(F.lit, subject_terms.STRONG))
+    return hashed.select(key, F.array_intersect("subjects", listed).alias("subjects"), F.pmod(F.col("_h"), F.lit(2)).alias("half"))
+
+
+def learn(df: DataFrame, key: str, text: str, sample: DataFrame | None) -> Lexicon:
+    """The curated terms, and what the first half of the labelled ``sample`` teaches: further terms, and marks of passing mentions."""
+    if sample is None:
+        return Lexicon(curated())
+    fit = df.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(sample.filter("half = 0").withColumnRenamed(key, "_key")), "_key").select("text", "subjects")
+    fit = cut_lineage(fit)
+    weights: dict[tuple[str, str], float] = {}
+    for t, s, w in [*curated(), *learned_terms(fit)]:
+        weights[t, s] = max(w, weights.get((t, s), 0.0))
+    terms = [(t, s, w) for (t, s), w in weights.items()]
+    return Lexicon([*terms, *((m, "", 0.0) for m in learned_marks(fit, Lexicon(terms)))])
+
+
+def match_terms(df: DataFrame, key: str, text: str, lexicon: Lexicon) -> DataFrame:
+    """(``key``, length, sentences): of each document the number of its sentences, and the places hit in each that has hits; whole texts."""
     slim = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    schema = T.StructType([slim.schema["_key"], T.StructField("sentences", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    schema = T.StructType([slim.schema["_key"], T.StructField("length", T.IntegerType()), T.StructField("sentences", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
         for batch in batches:
-            hits = [document_hits(t) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_key").cast(target.field(0).type), pa.array(hits, target.field(1).type)], schema=target)
+            rows = [lexicon.document_hits(t) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_key").cast(target.field(0).type), pa.array([n for n, _ in rows], target.field(1).type), pa.array([h for _, h in rows], target.field(2).type)], schema=target)
 
     return slim.mapInArrow(run, schema).withColumnRenamed("_key", key)
 
@@ -128,15 +261,15 @@ def rarity(matched: DataFrame) -> DataFrame:
     return df.select("place", (F.log1p(total / F.col("df")) / F.log1p(F.lit(100.0))).alias("rarity"))
 
 
-def worths(rare: DataFrame) -> list[float]:
+def worths(rare: DataFrame, lexicon: Lexicon) -> list[float]:
     """What each place of the lexicon is worth: weight times rarity. A number a term, whatever the corpus."""
     seen = {r.place: r.rarity for r in rare.collect()}
-    return [w * max(LEAST_RARITY, min(1.0, seen.get(i, 1.0))) for i, (_, _, w) in enumerate(lexicon())]
+    return [w * max(LEAST_RARITY, min(1.0, seen.get(i, 1.0))) for i, (_, _, w) in enumerate(lexicon.rows)]
 
 
-def weigh(sentences: list[list[int]], worth: list[float]) -> dict[str, float]:
+def weigh(sentences: list[list[int]], worth: list[float], rows: list[tuple]) -> dict[str, float]:
     """The evidence of each subject in a document: in each sentence its best term counts."""
-    rows, total = lexicon(), {}
+    total: dict[str, float] = {}
     for hits in sentences:
         best: dict[str, float] = {}
         for i in hits:
@@ -147,12 +280,13 @@ def weigh(sentences: list[list[int]], worth: list[float]) -> dict[str, float]:
     return total
 
 
-def evidence(matched: DataFrame, key: str, worth: list[float]) -> DataFrame:
-    """(``key``, subject, evidence, share) of each row and subject, without a shuffle.
+def evidence(matched: DataFrame, key: str, worth: list[float], lexicon: Lexicon) -> DataFrame:
+    """(``key``, subject, evidence, density) of each row and subject, without a shuffle.
 
-    Normalized by length as share, a subject's part of all of the document's evidence.
+    Normalized by length as density, the evidence a sentence of the document.
     """
-    schema = T.StructType([matched.schema[key], T.StructField("subject", T.StringType()), T.StructField("evidence", T.DoubleType()), T.StructField("share", T.DoubleType())])
+    schema = T.StructType([matched.schema[key], T.StructField("subject", T.StringType()), T.StructField("evidence", T.DoubleType()), T.StructField("density", T.DoubleType())])
+    terms = lexicon.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -160,54 +294,66 @@ def evidence(matched: DataFrame, key: str, worth: list[float]) -> DataFrame:
         target = to_arrow_schema(schema)
         for batch in batches:
             rows: list[tuple] = []
-            for k, sentences in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = weigh(sentences, worth)
-                whole = sum(found.values())
-                rows += [(k, s, e, e / whole) for s, e in found.items() if e > 0]
+            for k, length, sentences in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows += [(k, s, e, e / length) for s, e in weigh(sentences, worth, terms).items() if e > 0]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(target)], schema=target)
 
-    return matched.select(key, "sentences").mapInArrow(run, schema)
+    return matched.select(key, "length", "sentences").mapInArrow(run, schema)
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, key: str) -> tuple[float, float]:
-    """The (evidence, share) thresholds of the best F1 on labelled documents, at most ``MAX_LABELLED`` of them.
+#: Steps of the grids of thresholds, and their number.
+STEP_E, STEPS_E, STEP_D, STEPS_D = 0.1, 31, 0.01, 51
 
-    ``labels``: ``key``, subject; any subject that is not in the lexicon says that none applies.
-    The documents are taken by the hash of their key; without labels the defaults hold.
-    """
-    known = labels.select(key, "subject").dropna().distinct()
-    documents = known.select(key).distinct().withColumn("_h", F.xxhash64(key)).orderBy("_h", key).limit(MAX_LABELLED).select(key)
-    subjects = list(subject_terms.STRONG)
-    wanted = known.filter(F.col("subject").isin(subjects)).withColumn("truth", F.lit(1))
-    rows = scored.join(documents, key, "left_semi").join(wanted.join(documents, key, "left_semi"), [key, "subject"], "full")
-    grid_e = [round(0.2 + 0.1 * i, 2) for i in range(24)]
-    grid_s = [round(0.02 * i, 2) for i in range(0, 26)]
-    cell = rows.select(
-        F.floor(F.coalesce("evidence", F.lit(0.0)) * 10).alias("e"), F.floor(F.coalesce("share", F.lit(0.0)) * 50).alias("s"), F.coalesce("truth", F.lit(0)).alias("truth")
-    ).groupBy("e", "s").agg(F.sum("truth").alias("good"), F.count(F.lit(1)).alias("n"))
-    # at most a cell per grid step: evidence beyond the grid is as good as its end
-    cells = cell.groupBy(F.least("e", F.lit(30)).alias("e"), "s").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()
-    total = sum(c.good for c in cells)
+
+def _best(cells: list[tuple[int, int, int, int]]) -> tuple[float, float] | None:
+    """The (evidence, density) thresholds of the best F1 over cells (e, d, good, n); amid equals the middle one. None without any good."""
+    total = sum(c[2] for c in cells)
     if not total:
-        return DEFAULT_THRESHOLDS
-    best = (-1.0, DEFAULT_THRESHOLDS)
-    for e in grid_e:
-        for s in grid_s:
-            chosen = [c for c in cells if c.e >= round(e * 10) and c.s >= round(s * 50)]
-            good, n = sum(c.good for c in chosen), sum(c.n for c in chosen)
-            f1 = 2 * good / (n + total) if n + total else 0.0
-            best = max(best, (f1, (e, s)))
-    return best[1]
+        return None
+    good, every = np.zeros((STEPS_E, STEPS_D)), np.zeros((STEPS_E, STEPS_D))
+    for e, d, g, n in cells:
+        good[e, d] += g
+        every[e, d] += n
+    above = lambda x: x[::-1, ::-1].cumsum(0).cumsum(1)[::-1, ::-1]
+    f1 = np.round(2 * above(good) / (above(every) + total), 9)[1:, :]
+    places = np.argwhere(f1 == f1.max())
+    e, d = places[len(places) // 2]
+    return round(int(e + 1) * STEP_E, 6), round(int(d) * STEP_D, 6)
+
+
+def calibrate(scored: DataFrame, sample: DataFrame, key: str) -> dict[str, tuple[float, float]]:
+    """The (evidence, density) thresholds of each subject, of the best F1 on the ``sample`` (``key``, subjects) of labelled documents.
+
+    Subjects of fewer than ``LEAST_LABELS`` labels take the thresholds that are best for all together.
+    """
+    truth = sample.select(key, F.explode("subjects").alias("subject")).withColumn("truth", F.lit(1))
+    rows = scored.join(F.broadcast(sample.select(key)), key, "left_semi").join(truth, [key, "subject"], "full")
+    step = lambda c, size, most: F.least(F.floor(F.coalesce(c, F.lit(0.0)) / size + 1e-9), F.lit(most - 1))
+    cell = rows.select("subject", step("evidence", STEP_E, STEPS_E).alias("e"), step("density", STEP_D, STEPS_D).alias("d"), F.coalesce("truth", F.lit(0)).alias("truth"))
+    cells = cell.groupBy("subject", "e", "d").agg(F.sum("truth").alias("good"), F.count(F.lit(1)).alias("n")).collect()
+    # a full join may name a subject in no text, so a cell of no evidence is a miss and never chosen
+    pooled = _best([(c.e, c.d, c.good, c.n) for c in cells]) or DEFAULT_THRESHOLDS
+    out = {}
+    for subject in subject_terms.STRONG:
+        own = [(c.e, c.d, c.good, c.n) for c in cells if c.subject == subject]
+        out[subject] = (_best(own) or pooled) if sum(c[2] for c in own) >= LEAST_LABELS else pooled
+    return out
 
 
 def assign(df: DataFrame, key: str, text: str, labels: DataFrame | None = None) -> DataFrame:
-    """(``key``, subject, evidence, share) of every subject whose evidence and share exceed the thresholds.
+    """(``key``, subject, evidence, density) of every subject whose evidence and density reach the subject's thresholds.
 
-    NULL, empty and blank texts and texts without subject terms give no rows. Rows that repeat a key
-    are judged each on its own, and the greatest evidence of each subject is given once.
-    ``labels``: see ``calibrate``.
+    ``labels``: ``key``, subject; half of a bounded sample teaches further terms and the marks of
+    passing mentions, the other half the thresholds; without labels there are the curated terms and
+    ``DEFAULT_THRESHOLDS``. NULL, empty and blank texts and texts without subject terms give no
+    rows. Rows that repeat a key are judged each on its own, and the greatest evidence of each
+    subject is given once.
     """
-    matched = cut_lineage(match_terms(df.filter(F.col(text).isNotNull()), key, text).filter(F.size("sentences") > 0))
-    scored = evidence(matched, key, worths(rarity(matched)))
-    least, share = calibrate(scored, labels, key) if labels is not None else DEFAULT_THRESHOLDS
-    return scored.filter((F.col("evidence") >= least) & (F.col("share") >= share)).groupBy(key, "subject").agg(F.max("evidence").alias("evidence"), F.max("share").alias("share"))
+    sample = cut_lineage(labelled_sample(labels, key)) if labels is not None else None
+    lexicon = learn(df, key, text, sample)
+    matched = cut_lineage(match_terms(df.filter(F.col(text).isNotNull()), key, text, lexicon).filter(F.size("sentences") > 0))
+    scored = evidence(matched, key, worths(rarity(matched), lexicon), lexicon)
+    held = sample.filter("half = 1") if sample is not None else None
+    least = calibrate(scored, held, key) if held is not None else dict.fromkeys(subject_terms.STRONG, DEFAULT_THRESHOLDS)
+    limit = lambda i: F.coalesce(*[F.when(F.col("subject") == s, F.lit(t[i])) for s, t in least.items()])
+    return scored.filter((F.col("evidence") >= limit(0) - 1e-9) & (F.col("density") >= limit(1) - 1e-9)).groupBy(key, "subject").agg(F.max("evidence").alias("evidence"), F.max("density").alias("density"))
