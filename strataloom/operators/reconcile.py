@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.functions import bitmaps
-from strataloom.session import shuffle_partitions
 
 #: Keys of one block; fits the uint16 ordinals of the bitmaps and bounds what a task holds.
 BLOCK = 32_768
@@ -33,8 +32,8 @@ def presence_blocks(left: DataFrame, right: DataFrame, key: str, fields: Sequenc
     """Blocks of shared ordinals: (keys, left_bitmap, right_bitmap, left_<f>..., right_<f>...).
 
     Both copies are united and reduced to one row a key in one shuffle with map-side combination (so
-    a key that is repeated a third of all rows long costs one partial row a task). Keys are spread
-    over hash buckets, ordered there and numbered; ``BLOCK`` keys form a block. A block holds each
+    a key that is repeated a third of all rows long costs one partial row a task). That shuffle's
+    partitions are ordered by key and numbered; ``BLOCK`` keys form a block. A block holds each
     copy's values without gaps, in ordinal order.
     """
     values = lambda df: F.struct(*[df[f].cast("string").alias(f) for f in fields])
@@ -42,8 +41,7 @@ def presence_blocks(left: DataFrame, right: DataFrame, key: str, fields: Sequenc
     none = F.lit(None).cast(row)
     both = left.select(left[key].alias("k"), values(left).alias("l"), none.alias("r")).unionByName(right.select(right[key].alias("k"), none.alias("l"), values(right).alias("r")))
     keyed = both.filter(F.col("k").isNotNull()).groupBy("k").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    buckets = 4 * shuffle_partitions(left.sparkSession)
-    spread = keyed.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(buckets))).repartition("b").sortWithinPartitions("b", "k")
+    spread = keyed.sortWithinPartitions("k")
     kind = keyed.schema["k"].dataType
     column = T.ArrayType(T.StringType())
     schema = T.StructType(
@@ -109,7 +107,7 @@ def compare_copies(left: DataFrame, right: DataFrame, key: str, fields: Sequence
                 a, b = batch.column("left_bitmap")[i].as_py(), batch.column("right_bitmap")[i].as_py()
                 found = [("row_missing_right", bitmaps.and_not(a, b, n)), ("row_missing_left", bitmaps.and_not(b, a, n))]
                 shared = bitmaps.both(a, b, n)
-                at_a, at_b = bitmaps.ranks(a, shared, n), bitmaps.ranks(b, shared, n)
+                at_a, at_b = bitmaps.ranks(a, shared), bitmaps.ranks(b, shared)
                 for f in names:
                     x, y = batch.column(f"left_{f}")[i].values.take(pa.array(at_a)), batch.column(f"right_{f}")[i].values.take(pa.array(at_b))
                     equal = pc.fill_null(pc.equal(x, y), False)

@@ -20,7 +20,7 @@ def test_bitmaps_round_trip_and_algebra(a, b):
     assert bitmaps.and_not(p, q, n).tolist() == np.flatnonzero(x & ~y).tolist()
     shared = bitmaps.both(p, q, n)
     assert shared.tolist() == np.flatnonzero(x & y).tolist()
-    assert bitmaps.ranks(p, shared, n).tolist() == [int(x[:i].sum()) for i in shared]
+    assert bitmaps.ranks(p, shared).tolist() == [int(x[:i].sum()) for i in shared]
 
 
 def test_full_and_empty_blocks_are_small():
