@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.operators.orphans import first_arrivals, orphan_report, orphans, records
+from strataloom.operators.orphans import arrivals, orphan_report, orphans, references
 from strataloom.operators.reconcile import compare_copies, latest, whole_number
 from strataloom.sources.tables import read_table
 
@@ -59,23 +59,19 @@ def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     comments = of("comments", "comment_id", "parent_id", "parent_kind", "created_at", "computed_at")
     arrived = F.col("computed_at")
     space = F.when(F.col("parent_kind").isNull(), "issue or pull_request").otherwise(F.col("parent_kind"))
-    references = (
-        records(replies, "review_comments", "reply_to_id", "comment_id", F.col("reply_to_id"), F.lit("review_comment"), month("created_at"), arrived)
-        .unionByName(records(threads, "review_threads", "pr_id", "thread_id", F.col("pr_id"), F.lit("pull_request"), month("first_comment_at"), arrived))
-        .unionByName(records(threads, "review_threads", "resolved_by_actor_id", "thread_id", F.col("resolved_by_actor_id"), F.lit("actor"), month("first_comment_at"), arrived))
-        .unionByName(records(comments, "comments", "parent_id", "comment_id", F.col("parent_id"), space, month("created_at"), arrived))
+    rows = (
+        references(replies, "review_comments", "reply_to_id", "comment_id", F.col("reply_to_id"), F.lit("review_comment"), month("created_at"), arrived)
+        .unionByName(references(threads, "review_threads", "pr_id", "thread_id", F.col("pr_id"), F.lit("pull_request"), month("first_comment_at"), arrived))
+        .unionByName(references(threads, "review_threads", "resolved_by_actor_id", "thread_id", F.col("resolved_by_actor_id"), F.lit("actor"), month("first_comment_at"), arrived))
+        .unionByName(references(comments, "comments", "parent_id", "comment_id", F.col("parent_id"), space, month("created_at"), arrived))
     )
-    pulls, issues = of("pull_requests", "pr_id", "computed_at"), of("issues", "issue_id", "computed_at")
-    either = pulls.select(F.col("pr_id").alias("id"), "computed_at").unionByName(issues.select(F.col("issue_id").alias("id"), "computed_at"))
-    named = lambda kind, df, key, at=arrived: first_arrivals(df, key, at).withColumn("kind", F.lit(kind))
     targets = (
-        named("review_comment", replies.select("comment_id", "computed_at"), "comment_id")
-        .unionByName(named("pull_request", pulls, "pr_id"))
-        .unionByName(named("issue", issues, "issue_id"))
-        .unionByName(named("issue or pull_request", either, "id"))
-        .unionByName(named("actor", of("actors", "actor_id"), "actor_id", None))
+        arrivals(of("review_comments", "comment_id", "computed_at"), "comment_id", ["review_comment"], arrived)
+        .unionByName(arrivals(of("pull_requests", "pr_id", "computed_at"), "pr_id", ["pull_request", "issue or pull_request"], arrived))
+        .unionByName(arrivals(of("issues", "issue_id", "computed_at"), "issue_id", ["issue", "issue or pull_request"], arrived))
+        .unionByName(arrivals(of("actors", "actor_id"), "actor_id", ["actor"], None))
     )
-    return references, targets, of("deleted_records", "record_id").select(F.col("record_id").alias("target"))
+    return rows, targets, of("deleted_records", "record_id").select(F.col("record_id").alias("target"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,13 +15,13 @@ def test_orphans_against_brute_force(spark, monkeypatch, least):
     monkeypatch.setattr(skew, "HEAVY_SHARE", 0.05)
     rng = random.Random(2)
     day = lambda: T0 + timedelta(days=rng.randrange(5))
-    rows = [(f"r{i}", "hot" if i % 3 == 0 else rng.choice([None, "", *"abcdefgh"]), day(), day()) for i in range(120)]
+    rows = [(f"r{i}", "hot" if i % 3 == 0 else "lost" if i % 7 < 3 else rng.choice([None, "", *"abcdefgh"]), day(), day()) for i in range(120)]
     rows += rows[:20]
     targets = [(k, day()) for k in ["hot", "a", "b", "c", "", "a", None]]
     deleted = [("d",), ("a",), (None,), ("d",)]
     refs = spark.createDataFrame(rows, "id string, ref string, created_at timestamp, computed_at timestamp")
-    recs = orphans.records(refs, "t", "ref", "id", F.col("ref"), F.lit("k"), F.date_format("created_at", "yyyy-MM"), F.col("computed_at"))
-    known = orphans.first_arrivals(spark.createDataFrame(targets, "key string, computed_at timestamp"), "key", F.col("computed_at")).withColumn("kind", F.lit("k"))
+    recs = orphans.references(refs, "t", "ref", "id", F.col("ref"), F.lit("k"), F.date_format("created_at", "yyyy-MM"), F.col("computed_at"))
+    known = orphans.arrivals(spark.createDataFrame(targets, "key string, computed_at timestamp"), "key", ["k"], F.col("computed_at"))
     found = orphans.orphans(recs, known, spark.createDataFrame(deleted, "target string"), ["kind", "target"])
     got = sorted((r.record_key, r.status) for r in found.collect())
     first = {}
@@ -43,8 +43,8 @@ def test_orphans_against_brute_force(spark, monkeypatch, least):
 
 def test_empty_tables(spark):
     refs = spark.createDataFrame([], "id string, ref string, created_at timestamp, computed_at timestamp")
-    recs = orphans.records(refs, "t", "ref", "id", F.col("ref"), F.lit("k"), F.lit("p"), F.col("computed_at"))
-    known = orphans.first_arrivals(spark.createDataFrame([], "key string"), "key", None).withColumn("kind", F.lit("k"))
+    recs = orphans.references(refs, "t", "ref", "id", F.col("ref"), F.lit("k"), F.lit("p"), F.col("computed_at"))
+    known = orphans.arrivals(spark.createDataFrame([], "key string"), "key", ["k"], None)
     assert orphans.orphans(recs, known, spark.createDataFrame([], "target string"), ["kind", "target"]).collect() == []
 
 
