@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def _pairs(values: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def electre(values: DataFrame, weights: DataFrame, q: float = 0.0, p: float = 1.0, v: float = 3.0, by: Sequence[str] = ()) -> DataFrame:
-    """(``by``, a, b, concordance, credibility, n_criteria) of ELECTRE III; pairs without a shared criterion have NULL concordance and credibility 0.
+    """(``by``, a, b, concordance, credibility, n_criteria) of ELECTRE III; pairs without a shared criterion have neither.
 
     ``weights``: (``by``, criterion, weight).
     """
@@ -48,41 +49,46 @@ def electre(values: DataFrame, weights: DataFrame, q: float = 0.0, p: float = 1.
     c = F.col("concordance")
     damp = F.aggregate("_ds", F.lit(1.0), lambda acc, d: F.when((d > c) & (c < 1), acc * (1 - d) / (1 - c)).when(d >= 1, 0.0).otherwise(acc))
     done = whole.withColumn("credibility", F.round(N.clamp(c * damp, 0.0, 1.0), 6)).withColumn("concordance", F.round("concordance", 6)).drop("_ds")
-    return _pairs(values, by).join(done, [*by, "a", "b"], "left").fillna({"credibility": 0.0, "n_criteria": 0})
+    return _pairs(values, by).join(done, [*by, "a", "b"], "left").fillna({"n_criteria": 0})
 
 
-def distill(names: list, credibility: dict, alpha: float, beta: float, descending: bool, most: int = 60) -> list[list]:
-    """One distillation chain: classes of alternatives, best first.
+def qualification(cred: np.ndarray, alpha: float, beta: float) -> np.ndarray:
+    """How many of a pool each alternative outranks less how many outrank it, at the cut below the pool's highest credibility.
 
-    In each round the alternatives left are narrowed to those of extreme qualification (those they
-    outrank less those that outrank them, at the highest cut) until one is left or none stands out.
+    a outranks b where the credibility lies above the cut and beats the converse by the threshold
+    alpha - beta * credibility; the diagonal of ``cred`` is 0.
     """
-    left, chain = sorted(names), []
-    while left and len(chain) < most:
-        pool = left
-        while True:
-            top = max((credibility.get((a, b), 0.0) for a in pool for b in pool if a != b), default=0.0)
-            if top <= 0:
-                break
-            cut = top - (alpha - beta * top)
-            score = dict.fromkeys(pool, 0)
-            for a in pool:
-                for b in pool:
-                    ab = credibility.get((a, b), 0.0)
-                    if a != b and ab > cut and ab > credibility.get((b, a), 0.0) + alpha - beta * ab:
-                        score[a] += 1
-                        score[b] -= 1
-            extreme = (max if descending else min)(score.values())
-            narrowed = [a for a in pool if score[a] == extreme]
-            done = len(narrowed) in (1, len(pool))
-            pool = narrowed
-            if done:
-                break
-        chain.append(sorted(pool))
-        left = [a for a in left if a not in set(pool)]
-    if left:
-        chain.append(left)
-    return chain if descending else chain[::-1]
+    slack = alpha - beta * cred
+    top = cred.max()
+    wins = (cred > top - (alpha - beta * top)) & (cred > cred.T + slack)
+    return wins.sum(axis=1) - wins.sum(axis=0)
+
+
+def distillate(cred: np.ndarray, pool: np.ndarray, alpha: float, beta: float) -> np.ndarray:
+    """The alternatives of ``pool`` that are best in it, and best among these, until that tells no more of them apart."""
+    inner = cred[np.ix_(pool, pool)]
+    if len(pool) < 2 or inner.max() <= 0:
+        return pool
+    score = qualification(inner, alpha, beta)
+    best = pool[score == score.max()]
+    return best if len(best) == len(pool) else distillate(cred, best, alpha, beta)
+
+
+def descending(cred: np.ndarray, alpha: float, beta: float) -> np.ndarray:
+    """The class, from 0, of each alternative of a credibility matrix in the descending distillation."""
+    place = np.full(len(cred), -1)
+    for rank in range(len(cred)):
+        pool = np.flatnonzero(place < 0)
+        if len(pool) == 0:
+            break
+        place[distillate(cred, pool, alpha, beta)] = rank
+    return place
+
+
+def distillations(cred: np.ndarray, alpha: float, beta: float) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of both distillations, 0 the best: the ascending one is the descending one of the converse relation, read backwards."""
+    up = descending(cred.T, alpha, beta)
+    return descending(cred, alpha, beta), up.max(initial=0) - up
 
 
 def electre_ranking(pairs: DataFrame, alpha: float = 0.30, beta: float = 0.15, by: Sequence[str] = ()) -> DataFrame:
@@ -94,11 +100,14 @@ def electre_ranking(pairs: DataFrame, alpha: float = 0.30, beta: float = 0.15, b
     schema = T.StructType([*[pairs.schema[c] for c in by], T.StructField("alternative", kind), T.StructField("down", T.LongType()), T.StructField("up", T.LongType()), T.StructField("n_incomparable", T.LongType())])
 
     def run(key: tuple, pool: pd.DataFrame) -> pd.DataFrame:
-        cred = dict(zip(zip(pool["a"], pool["b"], strict=True), pool["credibility"], strict=True))
         names = sorted(set(pool["a"]) | set(pool["b"]))
-        place = [{x: i for i, group in enumerate(distill(names, cred, alpha, beta, down)) for x in group} for down in (True, False)]
-        rows = [(*key, x, place[0][x], place[1][x], sum(cred.get((x, y), 0.0) < 0.5 and cred.get((y, x), 0.0) < 0.5 for y in names if y != x)) for x in names]
-        return pd.DataFrame(rows, columns=schema.names)
+        at = {x: i for i, x in enumerate(names)}
+        cred = np.zeros((len(names), len(names)))
+        cred[pool["a"].map(at), pool["b"].map(at)] = pool["credibility"].fillna(0.0)
+        np.fill_diagonal(cred, 0.0)
+        down, up = distillations(cred, alpha, beta)
+        open_ = ((cred < 0.5) & (cred.T < 0.5)).sum(axis=1) - 1
+        return pd.DataFrame([(*key, *r) for r in zip(names, down.tolist(), up.tolist(), open_.tolist(), strict=True)], columns=schema.names)
 
     grouped = pairs.groupBy(*by).applyInPandas(run, schema) if by else pairs.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda k, d: run((), d), schema)
     median = grouped.withColumn("median", (F.col("down") + F.col("up")) / 2)

@@ -68,7 +68,7 @@ WITH s AS {SCORES}, n AS (SELECT DISTINCT alternative FROM s), x AS (SELECT a.al
 y AS (SELECT *, CASE WHEN vb - va <= 0 THEN 1 WHEN vb - va >= 1 THEN 0 ELSE round(1 - (vb - va), 6) END AS c, CASE WHEN vb - va <= 1 THEN 0 WHEN vb - va >= 3 THEN 1 ELSE round((vb - va - 1) / 2, 6) END AS d FROM x),
 z AS (SELECT a, b, sum(weight * c) / sum(weight) AS concordance, count(*) AS n_criteria FROM y GROUP BY a, b),
 q AS (SELECT a, b, product(CASE WHEN d > concordance AND concordance < 1 THEN (1 - d) / (1 - concordance) WHEN d >= 1 THEN 0 ELSE 1 END) AS damp FROM y JOIN z USING (a, b) GROUP BY a, b)
-SELECT p.alternative AS a, r.alternative AS b, round(concordance, 6) AS concordance, coalesce(round(greatest(0, least(1, concordance * damp)), 6), 0) AS credibility, coalesce(n_criteria, 0) AS n_criteria
+SELECT p.alternative AS a, r.alternative AS b, round(concordance, 6) AS concordance, round(greatest(0, least(1, concordance * damp)), 6) AS credibility, coalesce(n_criteria, 0) AS n_criteria
 FROM n p JOIN n r ON p.alternative <> r.alternative LEFT JOIN z ON z.a = p.alternative AND z.b = r.alternative LEFT JOIN q ON q.a = p.alternative AND q.b = r.alternative"""
 
 
