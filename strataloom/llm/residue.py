@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.llm import residue_terms as W
+from strataloom.operators.skew import lookup_join
+from strataloom.session import cut_lineage
 
 #: Tokens that the tree branches on, after the number of tokens.
 DEPTH = 2
-#: Least part of equal tokens of a text and the template it joins.
-SIMILAR = 0.6
-#: Shards that texts of one leaf are mined in, before their templates are brought together.
-SHARDS = 16
+#: A token belongs to the template if so many different texts of its leaf have it at its place.
+SHARED = 3
+#: Texts of more tokens are templates of their own; the verdict is the same, as templates only save judging.
+MINED = 200
 #: One word in so many may be no plain one.
 STRANGE = 8
 HOLE = "<*>"
@@ -152,102 +154,36 @@ def judge(text: str, template_verdict: str) -> str | None:
     return None if template_verdict == "ordinary" else template_verdict
 
 
-class Tree:
-    """Templates by number of tokens and first tokens; a text joins the most similar template of its leaf."""
-
-    def __init__(self) -> None:
-        self.leaves: dict[tuple, list[list[str]]] = {}
-
-    @staticmethod
-    def leaf(parts: list[str]) -> tuple:
-        return (len(parts), *parts[:DEPTH])
-
-    def add(self, parts: list[str]) -> list[str]:
-        """The template that the text joins, changed so that it covers it."""
-        known = self.leaves.setdefault(self.leaf(parts), [])
-        best, most = None, -1.0
-        for template in known:
-            score = sum(a == b for a, b in zip(template, parts, strict=True)) / len(parts)
-            if score > most:
-                best, most = template, score
-        if best is None or most < SIMILAR:
-            best = list(parts)
-            known.append(best)
-        else:
-            best[:] = [a if a == b else HOLE for a, b in zip(best, parts, strict=True)]
-        return best
-
-
-def _mine(rows: DataFrame, column: str, out: str, keys: list[str]) -> DataFrame:
-    """``rows`` with ``out``, the template each row's tokens join; a tree per leaf (and shard), in the order of the tokens."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.StringType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        target = to_arrow_schema(schema)
-        tree, current = Tree(), None
-        held: list[pa.RecordBatch] = []
-        joined: list[list[str]] = []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            # templates change while rows join them, so they are written when their group is complete
-            at = 0
-            for part in held:
-                arrays = [c.cast(f.type) for c, f in zip(part.columns, target, strict=False)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(joined[at : at + part.num_rows], target.field(len(arrays)).type)], schema=target)
-                at += part.num_rows
-            held.clear()
-            joined.clear()
-
-        for batch in batches:
-            groups = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
-            parts = batch.column(column).to_pylist()
-            start = 0
-            for i, (group, mine) in enumerate(zip(groups, parts, strict=True)):
-                if group != current:
-                    if i > start:
-                        held.append(batch.slice(start, i - start))
-                        start = i
-                    yield from close()
-                    tree, current = Tree(), group
-                joined.append(tree.add(mine))
-            held.append(batch.slice(start))
-        yield from close()
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, column).mapInArrow(run, schema)
+def leaf(parts: list[str]) -> str:
+    """Where the prefix tree of fixed depth puts a text: its number of tokens and its first tokens."""
+    return "\x1f".join([str(len(parts)), *parts[:DEPTH]])
 
 
 def mine_templates(texts: DataFrame) -> DataFrame:
-    """(text, template) of distinct bare texts.
+    """(text, template) of distinct bare texts: tokens that few texts of a leaf share at their place are holes.
 
-    Texts are spread over the leaves of the prefix tree and, within a leaf, over shards, so that a
-    leaf with most of the texts is no task of its own. Each shard mines its templates; those of a
-    leaf are then brought together by the same tree, which takes templates only.
+    Tokens are counted by leaf, place and token, so a leaf or token with most of the texts is no
+    task of its own, and the templates depend neither on the order of texts nor on partitions. A
+    template covers every text that has it.
     """
-    prepared = _tokenized(texts)
-    local = _mine(prepared, "parts", "local", ["leaf", "shard"])
-    merged = _mine(local.select("leaf", "local").distinct(), "local", "template", ["leaf"])
-    return local.select("text", "leaf", "local").join(merged, ["leaf", "local"]).select("text", "template")
+    prepared = cut_lineage(_tokenized(texts))
+    short = prepared.filter(F.size("parts") <= MINED)
+    spread = short.select("id", "leaf", F.posexplode("parts").alias("place", "token"))
+    counts = cut_lineage(spread.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED))
+    kept = lookup_join(spread, counts, ["leaf", "place", "token"]).select("id", "place", F.when(F.col("n").isNotNull(), F.col("token")).otherwise(HOLE).alias("token"))
+    filled = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("t")).select("id", F.col("t.token").alias("template"))
+    mined = short.select("id", "text").join(filled, "id").select("text", "template")
+    return mined.unionByName(prepared.filter(F.size("parts") > MINED).select("text", F.col("parts").alias("template")))
 
 
 def _tokenized(texts: DataFrame) -> DataFrame:
-    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("leaf", T.StringType()), T.StructField("shard", T.IntegerType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from zlib import crc32
-
-        from pyspark.sql.pandas.types import to_arrow_schema
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("leaf", T.StringType())])
 
-        target = to_arrow_schema(schema)
-        for batch in batches:
-            rows = batch.column("text").to_pylist()
-            parts = [tokens(t) for t in rows]
-            leaves = ["\x1f".join(map(str, Tree.leaf(p))) for p in parts]
-            shards = [crc32(t.encode()) % SHARDS for t in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((rows, parts, leaves, shards), target, strict=True)], schema=target)
+    def split(text: str) -> tuple[str, list[str], str]:
+        parts = tokens(text)
+        return text, parts, leaf(parts)
 
-    return texts.mapInArrow(run, schema)
+    return _python(texts.select("text"), split, schema).withColumn("id", F.md5("text"))
 
 
 def _python(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
@@ -265,6 +201,20 @@ def _python(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _fields(rows: DataFrame, key: str, host: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((_key, _host, field, raw) of all fields that aren't NULL; (raw, _host, text), their distinct bare texts)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("raw")) for f in fields]))
+    long = rows.select(F.col(key).alias("_key"), F.col(host).alias("_host"), pairs.alias("p")).select("_key", "_host", "p.field", "p.raw").filter("raw IS NOT NULL")
+    names = T.StructType([T.StructField(c, T.StringType()) for c in ("raw", "_host", "text")])
+    return long, _python(long.select("raw", "_host").distinct(), lambda raw, h: (raw, h, bare(raw, h)), names).filter(F.col("text") != "")
+
+
+def _judged(mined: DataFrame) -> DataFrame:
+    """``mined`` with the verdict of its template, which is judged once."""
+    verdict = T.StructType([T.StructField("template", T.ArrayType(T.StringType())), T.StructField("verdict", T.StringType())])
+    return lookup_join(mined, cut_lineage(_python(mined.select("template").distinct(), lambda t: (t, judge_template(t)), verdict)), ["template"])
+
+
 def find_residue(rows: DataFrame, key: str, host: str, fields: list[str]) -> DataFrame:
     """(``key``, field, residue) of each field that is residue as a whole: ``slot``, ``filler``, ``error`` or ``script``.
 
@@ -273,20 +223,29 @@ def find_residue(rows: DataFrame, key: str, host: str, fields: list[str]) -> Dat
     whose holes decide are looked at one by one, and unresolved slots are searched in every text.
     NULL, empty and blank fields, and fields of nothing but the site's name, are no residue.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("raw")) for f in fields]))
-    long = rows.select(F.col(key).alias("_key"), F.col(host).alias("_host"), pairs.alias("p")).select("_key", "_host", "p.field", "p.raw").filter("raw IS NOT NULL")
-    raws = long.select("raw", "_host").distinct()
-    names = T.StructType([T.StructField(c, T.StringType()) for c in ("raw", "_host", "text")])
-    bared = _python(raws, lambda raw, h: (raw, h, bare(raw, h)), names).filter(F.col("text") != "")
-    mined = mine_templates(bared.select("text").distinct())
-    verdict = T.StructType([T.StructField("template", T.ArrayType(T.StringType())), T.StructField("verdict", T.StringType())])
-    judged = _python(mined.select("template").distinct(), lambda t: (t, judge_template(t)), verdict)
+    long, bared = _fields(rows, key, host, fields)
     classes = T.StructType([T.StructField("text", T.StringType()), T.StructField("residue", T.StringType())])
-    texts = _python(mined.join(judged, "template").select("text", "verdict"), lambda t, v: (t, judge(t, v)), classes).filter("residue IS NOT NULL")
+    mined = cut_lineage(mine_templates(bared.select("text").distinct()))
+    texts = _python(_judged(mined).select("text", "verdict"), lambda t, v: (t, judge(t, v)), classes).filter("residue IS NOT NULL")
     found = bared.join(texts, "text").select("raw", F.col("_host").alias("h"), "residue")
     return long.join(found, (long["raw"] == found["raw"]) & long["_host"].eqNullSafe(found["h"])).select(F.col("_key").alias(key), "field", "residue").distinct()
 
 
+def template_table(rows: DataFrame, key: str, host: str, fields: list[str]) -> DataFrame:
+    """(template, verdict, n_texts, n_hosts, n_keys) of the mined templates, weighed by the texts, hosts and records that share them."""
+    long, bared = _fields(rows, key, host, fields)
+    judged = _judged(cut_lineage(mine_templates(bared.select("text").distinct())))
+    named = bared.join(judged, "text").select("raw", F.col("_host").alias("h"), "text", F.array_join("template", " ").alias("template"), "verdict")
+    uses = long.join(named, (long["raw"] == named["raw"]) & long["_host"].eqNullSafe(named["h"]))
+    # distinct keys are counted by a first aggregation, so that a template of many records is no task of its own
+    slim = uses.groupBy("template", "verdict", "text", "_host", "_key").agg(F.lit(1).alias("_one"))
+    count = lambda c: slim.select("template", "verdict", c).filter(F.col(c).isNotNull()).distinct().groupBy("template", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    out = count("text").withColumnRenamed("n", "n_texts")
+    for column, name in (("_host", "n_hosts"), ("_key", "n_keys")):
+        out = out.join(count(column).withColumnRenamed("n", name), ["template", "verdict"], "left")
+    return out.fillna(0, ["n_hosts", "n_keys"])
+
+
 def without_residue(rows: DataFrame, key: str, host: str, fields: list[str]) -> DataFrame:
     """``rows`` without those that have a field of residue; rows without key stay, as no record is named by them."""
     return rows.join(find_residue(rows, key, host, fields).select(key).distinct(), key, "left_anti")

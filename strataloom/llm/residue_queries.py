@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.residue import find_residue, without_residue
+from strataloom.llm.residue import find_residue, template_table, without_residue
 from strataloom.sources.tables import read_table
 
 FIELDS = ["title", "description"]
@@ -27,5 +27,10 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("field", "residue").agg(F.count(F.lit(1)).alias("n_urls"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_clean": p6_clean, "p6_report": p6_report}
+def p6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of titles and descriptions with their verdict, and how many texts, hosts and urls share each."""
+    return template_table(read_table(spark, sf_dir, "web_artifacts", "url", "host", *FIELDS), "url", "host", FIELDS).withColumnRenamed("n_keys", "n_urls")
+
+
+QUERIES = {"p6_found": p6_found, "p6_templates": p6_templates, "p6_clean": p6_clean, "p6_report": p6_report}
 ORACLE: dict[str, str] = {}

@@ -32,8 +32,7 @@ def test_ordinary(text):
     assert direct(text) is None
 
 
-def test_operator_equals_judging_each_text(spark, monkeypatch):
-    monkeypatch.setattr(R, "SHARDS", 3)
+def test_operator_equals_judging_each_text(spark):
     rng = random.Random(3)
     texts = [t for ts in RESIDUE.values() for t in ts] + ORDINARY + [None] + [f"Guide to the {rng.choice('abcdefg')}{i % 7} page" for i in range(60)] + [f"Page {w} found" for w in ("not", "was", "is", "never")]
     rows = [(f"u{i}", rng.choice(texts), rng.choice(texts), rng.choice([HOST, None]), "x") for i in range(300)]
@@ -56,9 +55,22 @@ def test_empty_null_key_and_very_long(spark):
     assert R.without_residue(spark.createDataFrame(rows, schema), "url", "host", ["title"]).count() == 3
 
 
-def test_tree_merges_similar_texts_only():
-    tree = R.Tree()
-    a = tree.add("fatal error in module one".split())
-    b = tree.add("fatal error in module two".split())
-    c = tree.add("fatal error x y z".split())
-    assert a is b and a == ["fatal", "error", "in", "module", R.HOLE] and c is not a
+def test_templates_cover_their_texts_and_depend_on_no_order(spark):
+    rng = random.Random(5)
+    texts = sorted({f"fatal error in module {rng.choice('abcdefgh')}{i}" for i in range(60)} | {f"guide to {rng.choice(['queues', 'alerts'])} part {rng.choice('xyz')}" for _ in range(60)} | {"own words only here", "w " * 300})
+    plain = {}
+    for t in texts:
+        parts = R.tokens(t)
+        alike = [R.tokens(o) for o in texts if R.leaf(R.tokens(o)) == R.leaf(parts)]
+        plain[t] = parts if len(parts) > R.MINED else [p if sum(o[i] == p for o in alike) >= R.SHARED else R.HOLE for i, p in enumerate(parts)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for part in (1, 7):
+        assert {r.text: r.template for r in R.mine_templates(df.repartition(part)).collect()} == plain
+    assert plain[next(t for t in texts if t.startswith("fatal"))] == ["fatal", "error", "in", "module", R.HOLE]
+
+
+def test_a_leaf_with_all_the_texts(spark):
+    """Different titles of one leaf are counted, not compared with each other."""
+    df = spark.range(60_000).selectExpr("concat('u', id) AS url", "concat('the page w', conv(id, 10, 26), 'x') AS title", "'h.example' AS host")
+    rows = R.template_table(df, "url", "host", ["title"]).collect()
+    assert [(r.template, r.n_texts, r.n_hosts, r.n_keys) for r in rows] == [(f"the page {R.HOLE}", 60_000, 1, 60_000)]
