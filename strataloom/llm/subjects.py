@@ -112,9 +112,10 @@ class Lexicon:
         padded = f" {sentence} "
         found: list[tuple[int, int, int]] = []
         for end, (length, where) in self.machine().iter(padded):
-            rest = padded[end + 1 : end + 4].split(" ", 1)
-            if len(rest) > 1 and rest[0] in _ENDINGS:
+            if padded[end + 1] == " " or padded[end + 1 : end + 4].split(" ", 1)[0] in _ENDINGS:
                 found += [(end - length + 1, -end, i) for i in where]
+        if len(found) < 2:
+            return [i for _, _, i in found]
         keep, reach = [], {}
         for _, end, i in sorted(found):
             subject = self.rows[i][1]
@@ -130,7 +131,7 @@ class Lexicon:
         return len(lines), hits
 
 
-_ENDINGS = ("", "s", "es", "n", "en")
+_ENDINGS = ("s", "es", "n", "en")
 
 
 def _grams(sentence: str, least: int = 1, most: int = MAX_WORDS) -> set[str]:
@@ -231,11 +232,35 @@ def learn(df: DataFrame, key: str, text: str, sample: DataFrame | None) -> Lexic
         return Lexicon(curated())
     fit = df.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(sample.filter("half = 0").withColumnRenamed(key, "_key")), "_key").select("text", "subjects")
     fit = cut_lineage(fit)
-    weights: dict[tuple[str, str], float] = {}
-    for t, s, w in [*curated(), *learned_terms(fit)]:
-        weights[t, s] = max(w, weights.get((t, s), 0.0))
+    weights = {(t, s): w for t, s, w in curated()} | {(t, s): w for t, s, w in shortest(learned_terms(fit), curated())}
     terms = [(t, s, w) for (t, s), w in weights.items()]
-    return Lexicon([*terms, *((m, "", 0.0) for m in learned_marks(fit, Lexicon(terms)))])
+    return Lexicon([*terms, *((m, "", 0.0) for m in shortest_marks(learned_marks(fit, Lexicon(terms))))])
+
+
+def _inner(gram: str) -> Iterator[str]:
+    """The shorter runs of words within a gram."""
+    words = gram.split()
+    return (" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1) if j - i < len(words))
+
+
+def shortest(learned: Sequence[tuple[str, str, float]], known: Sequence[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
+    """``learned`` terms that say more than the terms within them: longer runs around a term that is worth as much are left out."""
+    worth = {(t, s): w for t, s, w in known}
+    out = []
+    for t, s, w in sorted(learned, key=lambda x: (x[0].count(" "), x[0], x[1])):
+        if w > max([worth.get((t, s), 0.0), *(1.1 * worth.get((g, s), 0.0) for g in _inner(t))]):
+            worth[t, s] = w
+            out.append((t, s, w))
+    return out
+
+
+def shortest_marks(marks: Sequence[str]) -> list[str]:
+    """Marks without those that hold another one."""
+    kept: set[str] = set()
+    for m in sorted(marks, key=lambda m: (m.count(" "), m)):
+        if not any(g in kept for g in _inner(m)):
+            kept.add(m)
+    return sorted(kept)
 
 
 def match_terms(df: DataFrame, key: str, text: str, lexicon: Lexicon) -> DataFrame:
@@ -324,10 +349,11 @@ def _best(cells: list[tuple[int, int, int, int]]) -> tuple[float, float] | None:
 def calibrate(scored: DataFrame, sample: DataFrame, key: str) -> dict[str, tuple[float, float]]:
     """The (evidence, density) thresholds of each subject, of the best F1 on the ``sample`` (``key``, subjects) of labelled documents.
 
+    ``scored`` holds the sample's documents only.
     Subjects of fewer than ``LEAST_LABELS`` labels take the thresholds that are best for all together.
     """
     truth = sample.select(key, F.explode("subjects").alias("subject")).withColumn("truth", F.lit(1))
-    rows = scored.join(F.broadcast(sample.select(key)), key, "left_semi").join(truth, [key, "subject"], "full")
+    rows = scored.join(truth, [key, "subject"], "full")
     step = lambda c, size, most: F.least(F.floor(F.coalesce(c, F.lit(0.0)) / size + 1e-9), F.lit(most - 1))
     cell = rows.select("subject", step("evidence", STEP_E, STEPS_E).alias("e"), step("density", STEP_D, STEPS_D).alias("d"), F.coalesce("truth", F.lit(0)).alias("truth"))
     cells = cell.groupBy("subject", "e", "d").agg(F.sum("truth").alias("good"), F.count(F.lit(1)).alias("n")).collect()
@@ -352,8 +378,11 @@ def assign(df: DataFrame, key: str, text: str, labels: DataFrame | None = None)
     sample = cut_lineage(labelled_sample(labels, key)) if labels is not None else None
     lexicon = learn(df, key, text, sample)
     matched = cut_lineage(match_terms(df.filter(F.col(text).isNotNull()), key, text, lexicon).filter(F.size("sentences") > 0))
-    scored = evidence(matched, key, worths(rarity(matched), lexicon), lexicon)
-    held = sample.filter("half = 1") if sample is not None else None
-    least = calibrate(scored, held, key) if held is not None else dict.fromkeys(subject_terms.STRONG, DEFAULT_THRESHOLDS)
+    worth = worths(rarity(matched), lexicon)
+    scored = evidence(matched, key, worth, lexicon)
+    least = dict.fromkeys(subject_terms.STRONG, DEFAULT_THRESHOLDS)
+    if sample is not None:
+        held = sample.filter("half = 1")
+        least = calibrate(evidence(matched.join(F.broadcast(held.select(key)), key, "left_semi"), key, worth, lexicon), held, key)
     limit = lambda i: F.coalesce(*[F.when(F.col("subject") == s, F.lit(t[i])) for s, t in least.items()])
     return scored.filter((F.col("evidence") >= limit(0) - 1e-9) & (F.col("density") >= limit(1) - 1e-9)).groupBy(key, "subject").agg(F.max("evidence").alias("evidence"), F.max("density").alias("density"))

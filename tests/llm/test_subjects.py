@@ -57,7 +57,7 @@ def test_terms_and_marks_are_learned_from_labels(spark):
     df, known = spark.createDataFrame(rows, "id long, body string"), spark.createDataFrame(labels, "id long, subject string")
     lexicon = S.learn(df, "id", "body", S.labelled_sample(known, "id"))
     learned = {(t, s) for t, s, _ in lexicon.rows}
-    assert {("zorvex pact", "law"), ("quibber", "sport"), ("nolum cure", "health")} <= learned
+    assert {("zorvex", "law"), ("quibber", "sport"), ("nolum", "health")} <= learned and ("zorvex pact", "law") not in learned
     assert ("set aside", "") in learned and ("looked at", "") not in learned
     got = {(r.id, r.subject) for r in S.assign(df, "id", "body", known).collect()}
     assert got == set(labels)
