@@ -20,13 +20,15 @@ from strataloom.session import cut_lineage
 
 #: Bands of rows of MinHash over the letter pairs of family names.
 BANDS, ROWS = 16, 2
-#: Blocks of up to so many rows are compared pair by pair; in larger ones each row is compared with the next ones in order of given name.
-BLOCK, NEXT = 200, (1, 2, 3, 5, 8, 13, 21)
+#: Larger blocks are cut into chunks of about so many rows, and each pair of chunks is compared on its own.
+BLOCK = 200
+#: Pairs of different given names of a family name that are compared for each given name, as examples of differences.
+CONTRASTS = 3
 #: Weakly labelled pairs that the classifier is fitted on, taken by a hash.
 MAX_LABELLED = 50_000
 #: Least confidence of a match.
 THRESHOLD = 0.5
-#: Components of up to so many rows are split within one task where members contradict each other.
+#: Components of up to so many rows are settled within one task, larger ones by rounds of joins, with the same result.
 COMPONENT = 5_000
 #: A kind of evidence forbids a match if it contradicts in less than this share of the pairs that share an account.
 RARE_CONFLICT = 0.02
@@ -161,19 +163,20 @@ def minhash_bands(word: str) -> list[str]:
     return [f"{b}:" + ",".join(str(v) for v in values[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)]
 
 
-def misspellings(families: DataFrame) -> DataFrame:
-    """(family, meant) of ``families`` (family, proven): a spelling that no account or address proves, and a near one.
+def misspellings(words: DataFrame) -> DataFrame:
+    """(family, meant) of ``words`` (family, proven), the spellings of family names: one that no account proves, and a near one.
 
-    Candidates share a MinHash band. Only distinct spellings are compared, so a frequent family
-    name costs as much as a rare one.
+    Candidates share a MinHash band. Only distinct spellings are compared, so a frequent family name
+    costs as much as a rare one, and the spellings of a band that many share are compared chunk by
+    chunk.
     """
-    schema = T.StructType([T.StructField("family", T.StringType()), T.StructField("proven", T.BooleanType()), T.StructField("band", T.StringType())])
-    banded = cut_lineage(_rows(families.filter(F.length("family") >= 4), lambda f, p: ((f, p, b) for b in minhash_bands(f)), schema))
-    doubtful = banded.filter("NOT proven").select(F.col("family").alias("a"), "band")
-    others = banded.select(F.col("family").alias("b"), "proven", "band")
-    pairs = doubtful.join(others, "band").filter((F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b") <= 2)).select("a", "b", "proven").distinct()
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("id", T.StringType())])
+    banded = _rows(words.select("family").filter(F.length("family") >= 4), lambda f: ((b, f) for b in minhash_bands(f)), schema)
+    near_words = block_pairs(banded.withColumn("side", F.lit(None).cast("int"))).filter((F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b") <= 2))
+    both = cut_lineage(near_words.select(F.col("a").alias("family"), F.col("b").alias("meant")).unionByName(near_words.select(F.col("b").alias("family"), F.col("a").alias("meant"))))
+    pairs = both.join(words.filter("NOT proven").select("family"), "family", "left_semi").select("family", "meant")
     found = T.StructType([T.StructField("family", T.StringType()), T.StructField("meant", T.StringType())])
-    return _rows(pairs, lambda a, b, p: [(a, b)] if near(a, b) else [], found)
+    return _rows(pairs, lambda f, m: [(f, m)] if near(f, m) else [], found)
 
 
 def _given(a: str, b: str) -> float:
@@ -271,40 +274,79 @@ class Model(NamedTuple):
 DEFAULT = Model(np.array([4.0, 2.5, 2.0, -1.0, -0.5, 1.0, -6.0, -6.0, -4.0, -2.5]), np.array([]), np.array([]), 0.97, (True, True))
 
 
-def _blocks(keys: DataFrame) -> DataFrame:
-    """(a, b) with a < b of ``keys`` (key, id, place): all pairs of a block of up to ``BLOCK`` rows; in larger ones each row with its block's first and some of the ``NEXT`` ones by place and id.
+def block_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b), a < b, of all pairs of a block of ``keys`` (key, side, id); rows with sides are paired with the other side only.
 
-    The first row of a block keeps it connected, so nothing is lost to strong evidence; rows of one
-    place (given name) stand beside each other.
+    A block of more than ``BLOCK`` rows is cut into chunks by a hash, and each pair of chunks is one
+    group of the join, so that no task holds a large block; no pair is left out.
     """
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1")
-    sized = keys.join(sizes, "key")
-    small = sized.filter(F.col("n") <= BLOCK)
-    pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
-    large = sized.filter(F.col("n") > BLOCK)
-    star = large.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    # rows of one place follow each other, cut by the id's hash so that no task holds a whole block
-    w = Window.partitionBy("key", "place", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), (F.col("n") / 10_000).cast("int")))).orderBy("id")
-    lined = large.withColumns({f"_{i}": F.lead("id", i).over(w) for i in NEXT})
-    following = lined.select(F.col("id").alias("a"), F.explode(F.array(*[F.col(f"_{i}") for i in NEXT])).alias("b")).filter("b IS NOT NULL")
-    return pairs.unionByName(star).unionByName(following).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def evidence(people: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(profiles with readings, handles, companies and meant spellings; blocking keys (key, id, place))."""
+    rows = keys.distinct()
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    cut = rows.join(sizes, "key").withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+    left = cut.select("key", F.col("chunk").alias("i"), F.explode(F.sequence(F.col("chunk"), F.col("of") - 1)).alias("j"), F.col("id").alias("x"), F.col("side").alias("s"))
+    right = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("chunk"))).alias("i"), F.col("chunk").alias("j"), F.col("id").alias("y"), F.col("side").alias("t"))
+    met = left.join(right, ["key", "i", "j"]).filter(((F.col("i") < F.col("j")) & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & F.col("s").isNotNull()))
+    apart = met.filter(F.col("s").isNull() | (F.col("s") != F.col("t")))
+    return apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def given_keys(given: str) -> set[str]:
+    """Keys of which two given names that agree (``_given``) have one in common, single initials aside: the name, its letter triples, and what is left without one letter."""
+    keys = {f"={given}"} | {given[i : i + 3] for i in range(len(given) - 2)}
+    if len(given) >= 3:
+        keys |= {f"-{given[:i]}{given[i + 1:]}" for i in range(len(given))} | {f"-{given}"}
+    return keys
+
+
+def family_keys(entries: DataFrame) -> DataFrame:
+    """(key, side, id) of ``entries`` (family, given, id): blocks of one family name and given names that agree.
+
+    The given names of a family are compared once each, by keys that agreeing ones share; an initial
+    meets the given names that begin with it. Rows come in only where names agree.
+    """
+    names = cut_lineage(entries.select("family", "given").distinct())
+    keyed = T.StructType([T.StructField("family", T.StringType()), T.StructField("given", T.StringType()), T.StructField("key", T.StringType())])
+    spelt = cut_lineage(_rows(names.filter(F.length("given") > 1), lambda f, g: ((f, g, k) for k in given_keys(g)), keyed))
+    alike = spelt.join(spelt.withColumnRenamed("given", "other"), ["family", "key"]).filter("given < other").select("family", "given", "other").distinct()
+    agreeing = T.StructType([T.StructField("family", T.StringType()), T.StructField("given", T.StringType()), T.StructField("other", T.StringType())])
+    alike = _rows(alike, lambda f, g, o: [(f, g, o)] if _given(g, o) else [], agreeing)
+    initials = names.filter(F.length("given") == 1).select("family", "given")
+    longer = names.filter(F.length("given") > 1).select("family", F.col("given").alias("other"), F.substring("given", 1, 1).alias("given"))
+    pairs = alike.unionByName(initials.join(longer, ["family", "given"]).select("family", "given", "other"))
+    tag = F.concat(F.lit("f:"), "family", F.lit("|"), "given")
+    same = entries.select(tag.alias("key"), F.lit(None).cast("int").alias("side"), "id")
+    one = entries.join(pairs, ["family", "given"]).select(F.concat(tag, F.lit("|"), "other").alias("key"), F.lit(0).alias("side"), "id")
+    two = entries.withColumnRenamed("given", "other").join(pairs, ["family", "other"]).select(F.concat(tag, F.lit("|"), "other").alias("key"), F.lit(1).alias("side"), "id")
+    return same.unionByName(one).unionByName(two)
+
+
+def contrasts(entries: DataFrame) -> DataFrame:
+    """(a, b): rows of one family name and different given names, at most ``CONTRASTS`` for each given name: what the classifier learns differences from."""
+    named = entries.groupBy("family", "given").agg(F.min("id").alias("id"))
+    # a frequent family name is cut by a hash, so that no task holds all its given names
+    sized = named.join(named.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / 10_000).alias("of")), "family")
+    w = Window.partitionBy("family", F.pmod(F.xxhash64("given"), F.col("of"))).orderBy("given")
+    after = sized.select("id", F.array(*[F.lead("id", k).over(w) for k in range(1, CONTRASTS + 1)]).alias("others"))
+    beside = after.select("id", F.explode("others").alias("other")).filter("id <> other")
+    return beside.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def evidence(people: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(profiles with readings, handles, companies and meant spellings; blocking keys (key, side, id); (id, member) of rows that say the same; ``contrasts``)."""
     base = cut_lineage(profiles(people))
     kind = base.schema["id"].dataType
-    named = base.select("id", F.explode("names").alias("n")).select("id", "n.given", "n.family")
+    named = cut_lineage(base.select("id", F.explode("names").alias("n")).select("id", "n.given", "n.family"))
     families = named.select("family").distinct()
     reading = T.StructType([T.StructField("id", kind), T.StructField("alias", T.StringType()), T.StructField("given", T.StringType()), T.StructField("family", T.StringType()), T.StructField("parted", T.BooleanType())])
     read = _rows(base.select("id", "aliases"), lambda i, aliases: ((i, a, g, f, bool(re.search("[._-]", a))) for a in aliases for g, f in splits(a)), reading)
     parted = cut_lineage(read.filter("parted").select("id", "alias", "given", "family"))
     readings = cut_lineage(read.join(families, "family", "left_semi").select("id", "alias", "given", "family").distinct())
+    loose = cut_lineage(parted.join(readings.select("id", "alias").distinct(), ["id", "alias"], "left_anti"))
     proven = readings.select("family").distinct().withColumn("proven", F.lit(True))
     spelt = families.join(proven, "family", "left").select("family", F.coalesce("proven", F.lit(False)).alias("proven"))
-    wrong = cut_lineage(misspellings(spelt))
+    wrong = cut_lineage(misspellings(cut_lineage(spelt)))
     handles = cut_lineage(base.select("id", F.explode("aliases").alias("alias")).join(readings.select("id", "alias").distinct(), ["id", "alias"], "left_anti"))
-    usage = base.select(F.explode("domains").alias("domain")).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    usage = cut_lineage(base.select(F.explode("domains").alias("domain")).groupBy("domain").agg(F.count(F.lit(1)).alias("n")))
     middle = usage.agg(F.percentile_approx("n", 0.5)).scalar()
     companies = base.select("id", F.explode("domains").alias("domain")).join(usage.filter(F.col("n") <= 2 * middle), "domain", "left_semi")
     # a mailbox of people with different family names or handles belongs to none of them; those named after a role are left out above
@@ -315,29 +357,31 @@ def evidence(people: DataFrame) -> tuple[DataFrame, DataFrame]:
     owners = base.select("id", F.explode("mailboxes").alias("mailbox"))
     people_of = owners.join(spelt_right.unionByName(unread).distinct(), "id").groupBy("mailbox").agg(F.countDistinct("who").alias("n")).filter("n > 1").select("mailbox")
     handles_of = owners.join(digits, "id").filter(F.col("alias") != F.split_part("mailbox", F.lit("@"), F.lit(1))).groupBy("mailbox").agg(F.countDistinct("alias").alias("n")).filter("n > 1").select("mailbox")
-    team = people_of.unionByName(handles_of).distinct()
-    team = cut_lineage(team)
-    boxes = cut_lineage(base.select("id", F.explode("mailboxes").alias("mailbox")).join(team, "mailbox", "left_anti"))
+    team = cut_lineage(people_of.unionByName(handles_of).distinct())
+    boxes = cut_lineage(owners.join(team, "mailbox", "left_anti"))
     own_domains = boxes.select("id", F.regexp_replace(F.split_part("mailbox", F.lit("@"), F.lit(2)), r"^(?:e?mail|smtp|mx)\.", "").alias("domain")).distinct()
     companies = companies.join(own_domains, ["id", "domain"], "left_semi")
     own_handles = digits.join(team.select(F.split_part("mailbox", F.lit("@"), F.lit(1)).alias("alias")).distinct(), "alias", "left_anti")
-    keyed = (
-        boxes.select(F.concat(F.lit("m:"), "mailbox").alias("key"), "id", F.lit("").alias("place"))
-        .unionByName(own_handles.select(F.concat(F.lit("h:"), "alias").alias("key"), "id", F.lit("").alias("place")))
-        .unionByName(named.select(F.concat(F.lit("f:"), "family").alias("key"), "id", F.col("given").alias("place")))
-        .unionByName(named.join(wrong, "family").select(F.concat(F.lit("f:"), "meant").alias("key"), "id", F.col("given").alias("place")))
-        .unionByName(readings.select(F.concat(F.lit("f:"), "family").alias("key"), "id", F.col("given").alias("place")))
-        .unionByName(parted.select(F.concat(F.lit("p:"), F.least("given", "family"), F.lit(" "), F.greatest("given", "family")).alias("key"), "id", F.lit("").alias("place")))
-    )
-    keys = keyed.groupBy("key", "id").agg(F.min("place").alias("place"))
-    sets = lambda df, c, name: df.groupBy("id").agg(F.collect_set(c).alias(name))
-    views = readings.groupBy("id").agg(F.collect_set(F.struct("given", "family")).alias("readings"))
-    loose = parted.join(readings.select("id", "alias").distinct(), ["id", "alias"], "left_anti").groupBy("id").agg(F.collect_set(F.struct("given", "family")).alias("loose"))
-    spellings = named.join(wrong, "family").groupBy("id").agg(F.collect_set(F.struct("family", "meant")).alias("meant"))
-    full = base.select("id", "names")
-    for part in (views, loose, spellings, sets(boxes, "mailbox", "mailboxes"), sets(own_handles, "alias", "handles"), sets(companies, "domain", "companies")):
-        full = full.join(part, "id", "left")
-    return cut_lineage(full), cut_lineage(keys)
+    misspelt = named.join(wrong, "family")
+    # all evidence in one long table, brought together once a row
+    fact = lambda df, what, x, y=None: df.select("id", F.lit(what).alias("what"), F.col(x).alias("x"), (F.col(y) if y else F.lit(None).cast("string")).alias("y"))
+    facts = fact(named, "names", "given", "family")
+    for part in (fact(readings, "readings", "given", "family"), fact(loose, "loose", "given", "family"), fact(misspelt, "meant", "family", "meant"), fact(boxes, "mailboxes", "mailbox"), fact(own_handles, "handles", "alias"), fact(companies, "companies", "domain")):
+        facts = facts.unionByName(part)
+    gather = lambda what, value: F.array_sort(F.collect_set(F.when(F.col("what") == what, value))).alias(what)
+    name, spelling = F.struct(F.col("x").alias("given"), F.col("y").alias("family")), F.struct(F.col("x").alias("family"), F.col("y").alias("meant"))
+    full = facts.groupBy("id").agg(gather("names", name), gather("readings", name), gather("loose", name), gather("meant", spelling), gather("mailboxes", F.col("x")), gather("handles", F.col("x")), gather("companies", F.col("x")))
+    says = F.when(F.size("names") + F.size("readings") + F.size("loose") > 0, F.md5(F.to_json(F.struct("names", "readings", "loose", "meant", "handles", "companies"))))
+    full = cut_lineage(full.withColumn("says", says))
+    first = full.filter("says IS NOT NULL").groupBy("says").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = cut_lineage(full.select("id", "says").join(first, "says").filter("id <> first").select(F.col("first").alias("id"), F.col("id").alias("member")))
+    # rows that say the same stand for each other, but for their mailboxes
+    entries = named.select("family", "given", "id").unionByName(readings.select("family", "given", "id")).unionByName(misspelt.select(F.col("meant").alias("family"), "given", "id")).distinct()
+    entries = cut_lineage(entries.join(members.select(F.col("member").alias("id")), "id", "left_anti"))
+    alone = F.lit(None).cast("int").alias("side")
+    exact = own_handles.select(F.concat(F.lit("h:"), "alias").alias("key"), alone, "id").unionByName(parted.select(F.concat(F.lit("p:"), F.least("given", "family"), F.lit(" "), F.greatest("given", "family")).alias("key"), alone, "id"))
+    exact = exact.join(members.select(F.col("member").alias("id")), "id", "left_anti").unionByName(boxes.select(F.concat(F.lit("m:"), "mailbox").alias("key"), alone, "id"))
+    return full.drop("says"), cut_lineage(exact.unionByName(family_keys(entries))), members, contrasts(entries)
 
 
 def _row(r: dict) -> dict:
@@ -348,9 +392,9 @@ def _row(r: dict) -> dict:
     return {"names": pairs(r["names"], "given", "family"), "readings": pairs(r["readings"], "given", "family") + pairs(r["loose"], "given", "family"), "meant": meant, "mailboxes": r["mailboxes"] or [], "handles": r["handles"] or [], "companies": r["companies"] or []}
 
 
-def compared(full: DataFrame, keys: DataFrame) -> DataFrame:
-    """(a, b, features, shared, foreign) of all candidate pairs."""
-    pairs = _blocks(keys)
+def compared(full: DataFrame, keys: DataFrame, members: DataFrame, more: DataFrame) -> DataFrame:
+    """(a, b, features, shared, foreign) of all candidate pairs: those of the blocks, of each row with those that say the same, and ``more``."""
+    pairs = block_pairs(keys).unionByName(members.select(F.least("id", "member").alias("a"), F.greatest("id", "member").alias("b"))).unionByName(more).distinct()
     left = full.select(F.col("id").alias("a"), F.struct(*[c for c in full.columns if c != "id"]).alias("x"))
     right = full.select(F.col("id").alias("b"), F.struct(*[c for c in full.columns if c != "id"]).alias("y"))
     kind = full.schema["id"].dataType
@@ -400,9 +444,9 @@ def _contradict(a: set, b: set) -> bool:
 def settle(edges: list[tuple], nodes: dict, forbids: tuple[bool, bool]) -> list[tuple]:
     """(a, b, confidence) of the clusters of one component: pairs join in order of confidence unless what they join contradicts.
 
-    ``edges``: (a, b, confidence, shared); ``nodes``: id to (handles, companies, full names). Shared
-    accounts join whatever else is said; other pairs do not bring different handles, employers or
-    given names of one family into one cluster.
+    ``edges``: (a, b, confidence, shared, order), by which equal confidences are taken; ``nodes``:
+    id to (handles, companies, full names). Shared accounts join whatever else is said; other pairs
+    do not bring different handles, employers or given names of one family into one cluster.
     """
     parent = {n: n for n in nodes}
     held = {n: (set(h) if forbids[0] else set(), set(c) if forbids[1] else set(), {x for x in names if len(x[0]) > 1}) for n, (h, c, names) in nodes.items()}
@@ -415,7 +459,7 @@ def settle(edges: list[tuple], nodes: dict, forbids: tuple[bool, bool]) -> list[
         return n
 
     strength: dict[tuple, float] = {}
-    for a, b, p, shared in sorted(edges, key=lambda e: (-e[3], -e[2], str(e[0]), str(e[1]))):
+    for a, b, p, shared, _ in sorted(edges, key=lambda e: (-e[3], -e[2], e[4], e[0], e[1])):
         strength[a, b] = p
         x, y = root(a), root(b)
         if x == y:
@@ -444,12 +488,13 @@ def match(people: DataFrame) -> DataFrame:
     ``people``: id, login, display_name, emails, git_names; lists may be empty or NULL; repeated
     rows of an id are taken together. Rows without any name, address or account match nothing.
     Candidates share a mailbox, an account's name, or a family name (also misspelt, or read out of
-    an account's name); a classifier judges them; rows that are one person by way of others are
-    pairs as well. Where a component holds rows that contradict each other (different handles or
-    employers, if these never differ within accounts), it is split along its weakest pairs.
+    an account's name) with an agreeing given name; a classifier judges them; rows that are one
+    person by way of others are pairs as well. Where a component holds rows that contradict each
+    other (different handles or employers, if these never differ within accounts), it is split along
+    its weakest pairs. Rows that say the same are one candidate; their links are those of its first.
     """
-    full, keys = evidence(people)
-    pairs = cut_lineage(compared(full, keys))
+    full, keys, members, more = evidence(people)
+    pairs = cut_lineage(compared(full, keys, members, more))
     model = train(pairs)
     kind = full.schema["id"].dataType
     scored = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("p", T.DoubleType()), T.StructField("shared", T.BooleanType())])
@@ -459,23 +504,81 @@ def match(people: DataFrame) -> DataFrame:
         p = 0.0 if blocked else model.confidence(features, shared, foreign)
         return [(a, b, p, shared)] if p >= THRESHOLD else []
 
-    accepted = cut_lineage(_rows(pairs, score, scored))
+    accepted = _expanded(cut_lineage(_rows(pairs, score, scored)), members)
+    accepted = cut_lineage(accepted.withColumn("o", F.xxhash64("a", "b")))
     components = cut_lineage(connected_components(accepted, "a", "b"))
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.filter(F.col("n") > COMPONENT).select("component")
-    if not large.isEmpty():
-        # in components beyond a task's size only shared accounts hold; there are none among people's rows as a rule
-        inside = components.join(large, "component", "left_semi").select(F.col("node").alias("a"))
-        accepted = cut_lineage(accepted.join(inside, "a", "left_anti").unionByName(accepted.join(inside, "a", "left_semi").filter("shared")))
-        components = cut_lineage(connected_components(accepted, "a", "b"))
-    return _settled(accepted, components, full, model.forbids)
+    large = cut_lineage(components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COMPONENT).select("component"))
+    if large.isEmpty():
+        return _settled(accepted, components, full, model.forbids)
+    inside = components.join(large, "component", "left_semi").select(F.col("node").alias("a"))
+    small = _settled(accepted.join(inside, "a", "left_anti"), components.join(large, "component", "left_anti"), full, model.forbids)
+    return small.unionByName(settled_by_rounds(cut_lineage(accepted.join(inside, "a", "left_semi")), full, model.forbids))
+
+
+def _expanded(accepted: DataFrame, members: DataFrame) -> DataFrame:
+    """``accepted`` with the links of a row for those that say the same but are not linked to it."""
+    linked = accepted.select("a", "b")
+    pair = members.withColumns({"a": F.least("id", "member"), "b": F.greatest("id", "member")})
+    alone = cut_lineage(pair.join(linked, ["a", "b"], "left_anti").select("id", "member"))
+    if alone.isEmpty():
+        return accepted
+    for side in ("a", "b"):
+        more = accepted.join(alone.withColumnRenamed("id", side), side).withColumn(side, F.col("member")).select("a", "b", "p", "shared")
+        accepted = accepted.unionByName(more).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "p", "shared")
+    return accepted.groupBy("a", "b").agg(F.max("p").alias("p"), F.max("shared").alias("shared"))
+
+
+def settled_by_rounds(accepted: DataFrame, full: DataFrame, forbids: tuple[bool, bool]) -> DataFrame:
+    """What ``settle`` gives, for components of any size: a link that comes first among those of both its clusters is decided at once.
+
+    Nothing that is decided later can touch these two clusters before, so the order of ``settle`` is
+    kept. Each round is a few joins of the links that are left; every cluster with links is decided
+    about, or waits for one that is.
+    """
+    rank = F.struct((~F.col("shared")).alias("s"), (-F.col("p")).alias("q"), "o", "a", "b")
+    links = accepted.select(F.col("a").alias("x"), F.col("b").alias("y"), rank.alias("rank"))
+    nodes = accepted.select(F.col("a").alias("id")).unionByName(accepted.select(F.col("b").alias("id"))).distinct()
+    none = lambda c, on: F.coalesce(F.col(c), F.array().cast(_STRINGS)) if on else F.array().cast(_STRINGS)
+    held = nodes.join(full, "id").select("id", none("handles", forbids[0]).alias("handles"), none("companies", forbids[1]).alias("companies"), F.filter("names", lambda n: F.length(n["given"]) > 1).alias("names"))
+    held = cut_lineage(held)
+    home = cut_lineage(nodes.select(F.col("id").alias("node"), F.col("id").alias("cluster")))
+    links = cut_lineage(links.groupBy("x", "y").agg(F.min("rank").alias("rank")))
+    kind = full.schema["id"].dataType
+    verdict = T.StructType([T.StructField("x", kind), T.StructField("y", kind), T.StructField("joins", T.BooleanType())])
+
+    def decide(x, y, shared, h, c, n, h2, c2, n2):
+        differ = any(s and t and not set(s) & set(t) for s, t in ((h, h2), (c, c2)))
+        names = [{(v["given"], v["family"]) for v in m or []} for m in (n, n2)]
+        yield x, y, shared or not (differ or _contradict(*names))
+
+    while not links.isEmpty():
+        both = links.select(F.col("x").alias("c"), "rank").unionByName(links.select(F.col("y").alias("c"), "rank"))
+        first = both.groupBy("c").agg(F.min("rank").alias("first"))
+        ready = links.join(first.select(F.col("c").alias("x"), F.col("first").alias("fx")), "x").join(first.select(F.col("c").alias("y"), F.col("first").alias("fy")), "y").filter("rank = fx AND rank = fy")
+        side = lambda c: held.select(F.col("id").alias(c), F.struct("handles", "companies", "names").alias(f"_{c}"))
+        known = ready.join(side("x"), "x").join(side("y"), "y").select("x", "y", (~F.col("rank.s")).alias("shared"), "_x.handles", "_x.companies", "_x.names", *[F.col(f"_y.{f}").alias(f"{f}2") for f in ("handles", "companies", "names")])
+        decided = cut_lineage(_rows(known, decide, verdict))
+        moves = decided.filter("joins").select(F.col("y").alias("cluster"), F.col("x").alias("to"))
+        home = cut_lineage(home.join(moves, "cluster", "left").select("node", F.coalesce("to", "cluster").alias("cluster")))
+        owner = held.join(moves.withColumnRenamed("cluster", "id"), "id", "left").withColumn("id", F.coalesce("to", "id"))
+        union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+        held = cut_lineage(owner.groupBy("id").agg(union("handles"), union("companies"), union("names")))
+        left = links.join(decided.select("x", "y"), ["x", "y"], "left_anti")
+        for c in ("x", "y"):
+            left = left.join(moves.select(F.col("cluster").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        links = cut_lineage(left.filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "rank").groupBy("x", "y").agg(F.min("rank").alias("rank")))
+    inside = accepted.join(home.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), "a").join(home.select(F.col("node").alias("b"), F.col("cluster").alias("cb")), "b").filter("ca = cb")
+    weakest = inside.groupBy(F.col("ca").alias("cluster")).agg(F.min("p").alias("weakest"))
+    grouped = block_pairs(home.select(F.col("cluster").alias("key"), F.lit(None).cast("int").alias("side"), F.col("node").alias("id")))
+    named = grouped.join(home.select(F.col("node").alias("a"), "cluster"), "a").join(weakest, "cluster").join(inside.select("a", "b", "p"), ["a", "b"], "left")
+    return named.select("a", "b", F.coalesce("p", "weakest").alias("confidence"))
 
 
 def _settled(accepted: DataFrame, components: DataFrame, full: DataFrame, forbids: tuple[bool, bool]) -> DataFrame:
     kind = full.schema["id"].dataType
     member = components.join(full.select(F.col("id").alias("node"), "handles", "companies", "names"), "node")
-    nodes = member.select("component", F.col("node").alias("a"), F.lit(None).cast(kind).alias("b"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("boolean").alias("shared"), "handles", "companies", "names")
-    edges = accepted.join(components.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b", "p", "shared", F.lit(None).cast(_STRINGS).alias("handles"), F.lit(None).cast(_STRINGS).alias("companies"), F.lit(None).cast(_NAME).alias("names"))
+    nodes = member.select("component", F.col("node").alias("a"), F.lit(None).cast(kind).alias("b"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("boolean").alias("shared"), F.lit(None).cast("long").alias("o"), "handles", "companies", "names")
+    edges = accepted.join(components.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b", "p", "shared", "o", F.lit(None).cast(_STRINGS).alias("handles"), F.lit(None).cast(_STRINGS).alias("companies"), F.lit(None).cast(_NAME).alias("names"))
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("confidence", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,15 +596,15 @@ def _settled(accepted: DataFrame, components: DataFrame, full: DataFrame, forbid
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], f.type) for i, f in enumerate(target)], schema=target)
 
         for batch in batches:
-            for component, a, b, p, shared, handles, companies, names in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for component, a, b, p, shared, o, handles, companies, names in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if component != current:
                     yield from close()
                     own, links, current = {}, [], component
                 if b is None:
                     own[a] = (handles or [], companies or [], [(n["given"], n["family"]) for n in names or []])
                 else:
-                    links.append((a, b, p, shared))
+                    links.append((a, b, p, shared, o))
         yield from close()
 
     rows = nodes.unionByName(edges).repartition("component").sortWithinPartitions("component", F.col("b").asc_nulls_first(), "a")
-    return rows.select("component", "a", "b", "p", "shared", "handles", "companies", "names").mapInArrow(run, schema)
+    return rows.select("component", "a", "b", "p", "shared", "o", "handles", "companies", "names").mapInArrow(run, schema)

@@ -74,24 +74,60 @@ def test_match_finds_people_and_keeps_namesakes_apart(spark):
     assert not any("u900" in a + b and "u000" in a + b for a, b in got)
 
 
-def test_large_blocks_are_not_compared_in_full(spark, monkeypatch):
-    monkeypatch.setattr(E, "BLOCK", 5)
-    keys = spark.createDataFrame([("k", f"i{n:03d}", "p") for n in range(60)] + [("s", f"i{n:03d}", "p") for n in range(4)], "key string, id string, place string")
-    pairs = {(r.a, r.b) for r in E._blocks(keys).collect()}
-    assert len(pairs) < 60 * 9
-    assert {("i000", f"i{n:03d}") for n in range(1, 60)} <= pairs
-    assert {("i001", "i002"), ("i002", "i003"), ("i001", "i003")} <= pairs
+@pytest.mark.parametrize("block", [7, 200])
+def test_all_pairs_of_a_block_whatever_its_size(spark, monkeypatch, block):
+    monkeypatch.setattr(E, "BLOCK", block)
+    rows = [("k", None, f"i{n:03d}") for n in range(60)] + [("s", n % 2, f"i{n:03d}") for n in range(50, 90)] + [("one", None, "z")]
+    pairs = [(r.a, r.b) for r in E.block_pairs(spark.createDataFrame(rows * 2, "key string, side int, id string")).collect()]
+    want = set(itertools.combinations([f"i{n:03d}" for n in range(60)], 2)) | {tuple(sorted((f"i{a:03d}", f"i{b:03d}"))) for a in range(50, 90, 2) for b in range(51, 90, 2)}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_given_names_that_agree_meet(spark):
+    rng = random.Random(8)
+    names = {"".join(rng.choice("aeiknrst") for _ in range(rng.randint(1, 7))) for _ in range(120)} | {"anna", "ann", "hanna", "anan", "j", "john", "johannes", "hannes"}
+    entries = [("berg", g, f"{g}{k}") for g in names for k in range(2)]
+    keys = E.family_keys(spark.createDataFrame(entries, "family string, given string, id string"))
+    got = {(r.a, r.b) for r in E.block_pairs(keys).collect()}
+    want = {tuple(sorted((x, y))) for (_, g, x), (_, h, y) in itertools.combinations(entries, 2) if E._given(g, h)}
+    assert got == want
+
+
+def test_one_family_name_with_many_people(spark):
+    """A block far above ``BLOCK``: two rows of each person, the given name of one with two letters changed over."""
+    rng = random.Random(9)
+    given = sorted({"".join(rng.choice("bdklmnrst") + rng.choice("aeiou") for _ in range(4)) for _ in range(600)})[:500]
+    rows = []
+    for k, g in enumerate(given):
+        typo = g[:3] + g[4] + g[3] + g[5:]
+        rows += [(f"p{k:04d}.0", None, None, [], [f"{g.capitalize()} Krenberg"], 0.5), (f"p{k:04d}.1", None, None, [], [f"{typo.capitalize()} Krenberg"], 0.5)]
+    got = {(r.a, r.b) for r in E.match(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum((f"p{k:04d}.0", f"p{k:04d}.1") in got for k in range(len(given))) >= 0.9 * len(given)
+
+
+def test_rounds_settle_like_one_task(spark, monkeypatch):
+    rng = random.Random(10)
+    ids = [f"n{i:02d}" for i in range(7)]
+    nodes = {i: ([f"h{rng.randrange(4)}"] if rng.random() < 0.3 else [], [f"c{rng.randrange(3)}"] if rng.random() < 0.3 else [], [(rng.choice(["anna", "boris", "a"]), "berg")]) for i in ids}
+    edges = [(a, b, rng.choice([0.6, 0.8, 0.9]), rng.random() < 0.05) for a, b in itertools.combinations(ids, 2) if rng.random() < 0.6]
+    full = spark.createDataFrame([(i, [{"given": g, "family": f} for g, f in n], h, c) for i, (h, c, n) in nodes.items()], "id string, names array<struct<given:string,family:string>>, handles array<string>, companies array<string>")
+    accepted = spark.createDataFrame(edges, "a string, b string, p double, shared boolean").selectExpr("*", "xxhash64(a, b) AS o")
+    order = {(r.a, r.b): r.o for r in accepted.collect()}
+    for forbids in ((True, True),):
+        want = {(a, b): p for a, b, p in E.settle([(*e, order[e[:2]]) for e in edges], nodes, forbids)}
+        got = {(r.a, r.b): r.confidence for r in E.settled_by_rounds(accepted, full, forbids).collect()}
+        assert got == want
 
 
 def test_settle_splits_contradictions():
     nodes = {"a": (["h1"], [], []), "b": ([], [], []), "c": (["h2"], [], []), "d": ([], ["x"], [])}
-    edges = [("a", "b", 0.9, False), ("b", "c", 0.8, False), ("b", "d", 0.7, False)]
+    edges = [("a", "b", 0.9, False, 1), ("b", "c", 0.8, False, 2), ("b", "d", 0.7, False, 3)]
     assert {(a, b) for a, b, _ in E.settle(edges, nodes, (True, True))} == {("a", "b"), ("a", "d"), ("b", "d")}
     assert len(E.settle(edges, nodes, (False, False))) == 6
     named = {"a": ([], [], [("kaito", "wex")]), "b": ([], [], [("k", "wex")]), "c": ([], [], [("katrin", "wex")])}
-    links = [("a", "b", 0.9, False), ("b", "c", 0.9, False)]
+    links = [("a", "b", 0.9, False, 1), ("b", "c", 0.9, False, 2)]
     assert {(a, b) for a, b, _ in E.settle(links, named, (True, True))} == {("a", "b")}
-    assert len(E.settle([(*e[:3], True) for e in links], named, (True, True))) == 3
+    assert len(E.settle([(*e[:3], True, e[4]) for e in links], named, (True, True))) == 3
 
 
 def test_fit_and_calibrate():
