@@ -2,119 +2,92 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strataloom.operators.graph import connected_components
 from strataloom.session import cut_lineage
 
-#: Sweeps of a level, levels, and gains that count as equal.
-SWEEPS, LEVELS, EQUAL = 20, 12, 1e-12
+#: Rounds of a level, levels, and the gain of modularity below which a level is done.
+ROUNDS, LEVELS, LEAST_GAIN = 20, 12, 1e-6
+#: Weights are counted in whole parts of 1, so that sums and ties do not depend on the order of rows.
+UNIT = 1_000_000
 
 
-def one_level(starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, loops: np.ndarray, total: float, resolution: float) -> list[int]:
-    """Community of each node after moving nodes, in order, to the neighbouring community of the greatest gain; ties to the least.
+def _settle(links: DataFrame, nodes: DataFrame, total: int, resolution: float) -> tuple[DataFrame, float]:
+    """((node, community) of a level, its modularity): rounds in which half of the nodes, by a hash, move to their best neighbouring community at once.
 
-    Nodes are numbers; the neighbours of n and their weights are at ``starts[n]`` to ``starts[n + 1]``.
+    ``links``: a, b, w in both directions, ``nodes``: node, degree, inner. Of two single nodes only
+    the greater moves to the smaller, so that they do not change places. The partition of the
+    greatest modularity is kept; rounds end when nobody wants to move or four of them bring nothing.
     """
-    n_nodes = len(starts) - 1
-    degree = [sum(weights[starts[n] : starts[n + 1]].tolist()) + 2 * float(loops[n]) for n in range(n_nodes)]
-    home = list(range(n_nodes))
-    mass = list(degree)
-    for _ in range(SWEEPS):
-        moved = False
-        for n in range(n_nodes):
-            into: dict = {}
-            at = slice(starts[n], starts[n + 1])
-            for m, w in zip(ends[at].tolist(), weights[at].tolist(), strict=True):
-                c = home[m]
-                into[c] = into.get(c, 0.0) + w
-            old = home[n]
-            mass[old] -= degree[n]
-            pull = resolution * degree[n] / total
-            best, most = old, into.get(old, 0.0) - pull * mass[old]
-            for c in sorted(into):
-                g = into[c] - pull * mass[c]
-                if c != old and (g > most + EQUAL or (g >= most - EQUAL and c < best)):
-                    best, most = c, g
-            mass[best] += degree[n]
-            home[n] = best
-            moved |= best != old
-        if not moved:
+    home = cut_lineage(nodes.withColumn("community", F.col("node")))
+    best, most, idle = home, None, 0
+    for turn in range(ROUNDS + 1):
+        groups = home.groupBy("community").agg(F.sum("degree").alias("mass"), F.count(F.lit(1)).alias("size"))
+        placed = home.join(groups, "community").select(F.col("node").alias("a"), "community", "degree", "inner", "mass", "size")
+        toward = links.join(home.select(F.col("node").alias("b"), F.col("community").alias("goal")), "b").groupBy("a", "goal").agg(F.sum("w").alias("into"))
+        offers = toward.join(placed, "a").join(groups.select(F.col("community").alias("goal"), F.col("mass").alias("there"), F.col("size").alias("crowd")), "goal")
+        own = F.col("goal") == F.col("community")
+        gain = F.col("into") - F.col("degree") * resolution * (F.col("there") - F.when(own, F.col("degree")).otherwise(0)) / F.lit(total)
+        allowed = ~((F.col("size") == 1) & (F.col("crowd") == 1) & (F.col("goal") > F.col("community")))
+        chosen = offers.withColumn("gain", gain).groupBy("a").agg(
+            F.max(F.when(own, F.col("gain"))).alias("_stay"),
+            F.max(F.when(own, F.col("into"))).alias("kept"),
+            F.min(F.when(~own & allowed, F.struct((-F.col("gain")).alias("g"), F.col("goal").alias("c")))).alias("_go"),
+        )
+        stay = F.coalesce("_stay", -F.col("degree") * resolution * (F.col("mass") - F.col("degree")) / F.lit(total))
+        wish = placed.join(chosen, "a", "left").withColumn("goal", F.when(-F.col("_go.g") > stay + 1e-9 * F.lit(total), F.col("_go.c")))
+        wish = cut_lineage(wish.select(F.col("a").alias("node"), "degree", "inner", "community", F.col("inner") + F.coalesce("kept", F.lit(0)), "goal").toDF("node", "degree", "inner", "community", "within", "goal"))
+        inside = wish.agg(F.sum("within"), F.count("goal")).first()
+        squares = groups.agg(F.sum(F.pow(F.col("mass") / F.lit(total), 2))).first()[0]
+        quality = inside[0] / total - resolution * squares
+        if most is None or quality > most + LEAST_GAIN:
+            best, most, idle = home, quality, 0
+        else:
+            idle += 1
+        if inside[1] == 0 or idle == 4 or turn == ROUNDS:
             break
-    return home
+        turns = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+        home = wish.select("node", "degree", "inner", F.when(turns, F.coalesce("goal", "community")).otherwise(F.col("community")).alias("community"))
+    return best, most
 
 
-def louvain(edges: list[tuple], total: float | None = None, resolution: float = 1.0) -> dict:
-    """{node: community} of weighted edges (a, b, w); a community is named by its least node.
+def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(node, community) of weighted pairs (a, b, weight) by the method of Louvain, the same whatever the order of rows.
 
-    ``total`` is twice the weight of the whole graph: a component run on its own with it moves as
-    it would within the whole.
+    Every step is a join or an aggregate of the edge table, so one component may be as large as the
+    data: in rounds, nodes move to the neighbouring community that raises modularity most (ties to
+    the least community), then communities become the nodes of the next level, until no level
+    raises it. A community is named by its least node. Pairs without a positive weight, with a NULL
+    end or with equal ends are left out. Weights count in millionths.
     """
-    a, b, w = zip(*edges, strict=True) if edges else ((), (), ())
-    nodes, community = louvain_arrays(np.array(a), np.array(b), np.array(w, dtype=float), total, resolution)
-    return dict(zip(nodes.tolist(), community.tolist(), strict=True))
-
-
-def louvain_arrays(a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float | None = None, resolution: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes and their communities of edges in arrays: a link takes 24 bytes, so that large components fit."""
-    keep = (w > 0) & (a != b)
-    a, b, w = a[keep], b[keep], w[keep]
-    nodes = np.unique(np.concatenate([np.unique(a), np.unique(b)]))
-    size = len(nodes)
-    x, y = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
-    src, dst, weight = merged(np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([w, w]), size)
-    total = total or float(weight.sum())
-    member, loops = np.arange(size), np.zeros(size)
-    least = np.arange(size)  # the least node of each community; communities keep the order of these
+    pairs = edges.filter("a <> b AND weight > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.round(F.sum("weight") * UNIT).cast("long").alias("w")).filter("w > 0")
+    links = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    nodes = cut_lineage(links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree"), F.lit(0).cast("long").alias("inner")))
+    total = nodes.agg(F.sum("degree")).first()[0]
+    members = nodes.select("node", F.col("node").alias("community"))
+    if not total:
+        return members
+    best = None
     for _ in range(LEVELS):
-        starts = np.searchsorted(src, np.arange(len(loops) + 1)).tolist()
-        home = np.array(one_level(starts, dst, weight, loops, total, resolution), dtype=int)
-        if len(home) == 0 or (home == np.arange(len(home))).all():
+        home, quality = _settle(links, nodes, total, resolution)
+        if best is not None and quality <= best + LEAST_GAIN:
             break
-        # names are the least members, as the order of nodes decides ties
-        first = np.full(len(home), len(home))
-        np.minimum.at(first, home, np.arange(len(home)))
-        kept, home = np.unique(first[home], return_inverse=True)
-        member, least = home[member], least[kept]
-        inner = np.bincount(home, weights=loops, minlength=len(kept))
-        same = home[src] == home[dst]
-        loops = inner + np.bincount(home[src[same]], weights=weight[same] / 2, minlength=len(kept))
-        src, dst, weight = merged(home[src[~same]], home[dst[~same]], weight[~same], len(kept))
-    return nodes, nodes[least[member]]
-
-
-def merged(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links in order of (src, dst) with the weights of equal ones summed."""
-    codes = src * size + dst
-    order = np.argsort(codes, kind="stable")
-    codes, weight = codes[order], weight[order]
-    begin = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, dtype=int)
-    codes = codes[begin]
-    return codes // max(size, 1), codes % max(size, 1), np.add.reduceat(weight, begin) if len(begin) else weight
-
-
-def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(node, community) of weighted pairs (a, b, weight) by Louvain's method, the same whatever the order of rows.
-
-    Components are found by joins, and each is one group of its own with the weight of the whole
-    graph passed in. A component's edges are one task's: pairs are to be guarded before.
-    """
-    kept = cut_lineage(edges.filter("a <> b AND weight > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight")))
-    component = connected_components(kept, "a", "b").select(F.col("node").alias("a"), "component")
-    total = kept.agg(2 * F.sum("weight")).first()[0]
-    kind = kept.schema["a"].dataType
-    schema = T.StructType([T.StructField("node", kind), T.StructField("community", kind)])
-
-    def run(pool: pd.DataFrame) -> pd.DataFrame:
-        rows = pool.sort_values(["a", "b"])
-        node, community = louvain_arrays(rows["a"].to_numpy(), rows["b"].to_numpy(), rows["weight"].to_numpy(), total, resolution)
-        return pd.DataFrame({"node": node, "community": community})
-
-    return kept.join(component, "a").groupBy("component").applyInPandas(run, schema)
+        best = quality
+        names = home.groupBy("community").agg(F.min("node").alias("name"))
+        named = cut_lineage(home.join(names, "community").select("node", F.col("name").alias("community"), "degree", "inner"))
+        members = cut_lineage(members.withColumnRenamed("community", "_at").join(named.select(F.col("node").alias("_at"), "community"), "_at").select("node", "community"))
+        side = lambda c: named.select(F.col("node").alias(c), F.col("community").alias(f"_{c}"))
+        merged = cut_lineage(links.join(side("a"), "a").join(side("b"), "b").groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(F.sum("w").alias("w")))
+        loops = merged.filter("a = b").select(F.col("a").alias("node"), "w")
+        grouped = named.groupBy(F.col("community").alias("node")).agg(F.sum("degree").alias("degree"), F.sum("inner").alias("_inner"))
+        before = nodes.count()
+        nodes = cut_lineage(grouped.join(loops, "node", "left").select("node", "degree", (F.col("_inner") + F.coalesce("w", F.lit(0))).alias("inner")))
+        links = merged.filter("a <> b")
+        if nodes.count() == before:
+            break
+    return members
 
 
 def split_large(members: DataFrame, edges: DataFrame, most: int, strong: Column) -> DataFrame:

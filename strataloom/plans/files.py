@@ -112,7 +112,7 @@ def cooccurrence_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COOCCURRENCE = f"""
-WITH f AS (SELECT DISTINCT path, pr_number FROM {FILES}), g AS (SELECT path, count(*) AS k FROM f GROUP BY 1 HAVING count(*) BETWEEN 2 AND 22)
+WITH f AS (SELECT DISTINCT path, pr_number FROM {FILES}), g AS (SELECT path, count(*) AS k FROM f GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40)
 SELECT a.pr_number AS a, b.pr_number AS b, round(1 - product(1 - 1.0 / k), 6) AS strength, count(*) AS n_edges FROM f a JOIN f b ON a.path = b.path AND a.pr_number < b.pr_number JOIN g ON g.path = a.path GROUP BY ALL"""
 
 
