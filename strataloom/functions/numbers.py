@@ -55,9 +55,9 @@ def preference(gap: Column, q: float, p: float) -> Column:
 
 
 def differs(a: Column, b: Column, least: float, share: float) -> Column:
-    """Whether two counts differ by more than ``least`` and by more than ``share`` of the greater; NULL if either is."""
+    """Whether two counts differ by more than ``least`` and by more than ``share`` of the greater; false if either is NULL."""
     gap = F.abs(a - b)
-    return (gap > least) & (gap > share * F.greatest(a, b))
+    return F.coalesce((gap > least) & (gap > share * F.greatest(a, b)), F.lit(False))
 
 
 def clamp(value: Column, low: float, high: float) -> Column:

@@ -30,7 +30,7 @@ EDGE_PHRASES = {
 # Kinds of documents by their address.
 DOCUMENT_KINDS = [("changelog", r"(?i)/changelog"), ("docs", r"(?i)/docs/"), ("handbook", r"(?i)/handbook"), ("tutorial", r"(?i)/tutorials?/"), ("blog", r"(?i)/blog/"), ("roadmap", r"(?i)/roadmap")]
 # Review comments that say little, and words of risk.
-ACKNOWLEDGEMENTS = [r"(?im)^(lgtm|looks good|nice|thanks|thank you|ty|ship it|approved?|\+1)\b", r"(?im)^(done|fixed|good catch|makes sense|agreed|will do|sounds good)\b"]
+ACKNOWLEDGEMENTS = [r"(?im)^(lgtm|looks good|nice|thanks|thank you|ty|ship it|approved?|\+1)\b", r"(?im)^(done|fixed|good catch|makes sense|agreed|will do|sounds good)\b", r"(?im)^[\s]*[👍🚀✅💯🎉🙌❤️➕]+[\s]*$"]
 NITS = [r"(?im)^\s*(nit|nitpick|style|typo|super minor|tiny)\b", r"(?im)^\s*\[?(nit|nitpick)\]?\s*[:.-]"]
 SHORT_COMMENT = 40
 SAFETY_TERMS = {
@@ -151,7 +151,7 @@ def flag_registry(text: Column) -> Column:
 def diff_lines(patch: Column, sign: str) -> Column:
     """The lines that a patch adds (``+``) or removes (``-``), without file headers, as one text."""
     lines = F.filter(F.split(F.coalesce(patch, F.lit("")), "\n"), lambda x: x.startswith(sign) & ~x.startswith(sign * 3))
-    return F.array_join(F.transform(lines, lambda x: F.substring(x, 2, 1_000_000)), "\n")
+    return F.array_join(F.transform(lines, lambda x: F.substr(x, F.lit(2))), "\n")
 
 
 def trailers(message: Column) -> Column:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.operators.graph import connected_components
+from strataloom.operators.skew import BROADCAST_ROWS
 from strataloom.session import cut_lineage
 
 #: Rounds of a level, levels, and the gain of modularity below which a level is done.
-ROUNDS, LEVELS, LEAST_GAIN = 20, 12, 1e-6
+ROUNDS, LEVELS, LEAST_GAIN = 20, 12, 1e-4
 #: Weights are counted in whole parts of 1, so that sums and ties do not depend on the order of rows.
 UNIT = 1_000_000
 
@@ -19,15 +20,17 @@ def _settle(links: DataFrame, nodes: DataFrame, total: int, resolution: float) -
 
     ``links``: a, b, w in both directions, ``nodes``: node, degree, inner. Of two single nodes only
     the greater moves to the smaller, so that they do not change places. The partition of the
-    greatest modularity is kept; rounds end when nobody wants to move or four of them bring nothing.
+    greatest modularity is kept; rounds end when nobody wants to move or three of them bring nothing.
     """
     home = cut_lineage(nodes.withColumn("community", F.col("node")))
+    # tables of nodes are sent to every executor while they are few; links never are
+    slim = F.broadcast if home.count() <= BROADCAST_ROWS else lambda df: df
     best, most, idle = home, None, 0
     for turn in range(ROUNDS + 1):
         groups = home.groupBy("community").agg(F.sum("degree").alias("mass"), F.count(F.lit(1)).alias("size"))
-        placed = home.join(groups, "community").select(F.col("node").alias("a"), "community", "degree", "inner", "mass", "size")
-        toward = links.join(home.select(F.col("node").alias("b"), F.col("community").alias("goal")), "b").groupBy("a", "goal").agg(F.sum("w").alias("into"))
-        offers = toward.join(placed, "a").join(groups.select(F.col("community").alias("goal"), F.col("mass").alias("there"), F.col("size").alias("crowd")), "goal")
+        placed = home.join(slim(groups), "community").select(F.col("node").alias("a"), "community", "degree", "inner", "mass", "size")
+        toward = links.join(slim(home.select(F.col("node").alias("b"), F.col("community").alias("goal"))), "b").groupBy("a", "goal").agg(F.sum("w").alias("into"))
+        offers = toward.join(slim(placed), "a").join(slim(groups.select(F.col("community").alias("goal"), F.col("mass").alias("there"), F.col("size").alias("crowd"))), "goal")
         own = F.col("goal") == F.col("community")
         gain = F.col("into") - F.col("degree") * resolution * (F.col("there") - F.when(own, F.col("degree")).otherwise(0)) / F.lit(total)
         allowed = ~((F.col("size") == 1) & (F.col("crowd") == 1) & (F.col("goal") > F.col("community")))
@@ -43,10 +46,10 @@ def _settle(links: DataFrame, nodes: DataFrame, total: int, resolution: float) -
         squares = groups.agg(F.sum(F.pow(F.col("mass") / F.lit(total), 2))).first()[0]
         quality = inside[0] / total - resolution * squares
         if most is None or quality > most + LEAST_GAIN:
-            best, most, idle = home, quality, 0
+            best, most, idle = wish.select("node", "degree", "inner", "community"), quality, 0
         else:
             idle += 1
-        if inside[1] == 0 or idle == 4 or turn == ROUNDS:
+        if inside[1] == 0 or idle == 3 or turn == ROUNDS:
             break
         turns = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
         home = wish.select("node", "degree", "inner", F.when(turns, F.coalesce("goal", "community")).otherwise(F.col("community")).alias("community"))
@@ -63,7 +66,8 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     end or with equal ends are left out. Weights count in millionths.
     """
     pairs = edges.filter("a <> b AND weight > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.round(F.sum("weight") * UNIT).cast("long").alias("w")).filter("w > 0")
-    links = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    ends = F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("w")))
+    links = cut_lineage(pairs.select(F.inline(ends)))
     nodes = cut_lineage(links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree"), F.lit(0).cast("long").alias("inner")))
     total = nodes.agg(F.sum("degree")).first()[0]
     members = nodes.select("node", F.col("node").alias("community"))

@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     neighbours to the least of all (large star), then its smaller ones (small star). The number of
     rounds grows with the logarithm of the longest path; edges never multiply, and no node's
     neighbours are gathered: the least of them is an aggregate that is joined back. Edges with a
-    NULL end are left out; a self-edge makes its node a component.
+    NULL end are left out; a self-edge makes its node a component. Labels that are not final after
+    ``max_rounds`` are an error, not a result.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).dropna()
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -32,6 +33,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == signature:
             break
         signature = now
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     return nodes.join(links.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 

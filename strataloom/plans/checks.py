@@ -224,7 +224,7 @@ ORACLE = {
     "invariants_report": _contract_sql(), "version_stamps": VERSIONS, "table_hash": TABLE_HASH,
     "completeness_by_month": "SELECT strftime(created_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n_rows, count(body_text) AS has_body_text, count(merged_at) AS has_merged_at, count(git_additions) AS has_git_additions, count(github_additions) AS has_github_additions, count(milestone_title) AS has_milestone_title FROM pull_requests GROUP BY 1",
     "missingness": _MISSING, "count_reconciliation": RECONCILE,
-    "size_mismatch": "SELECT DISTINCT pr_number, abs(git_changed_files - github_changed_files) > 1 AND abs(git_changed_files - github_changed_files) > 0.1::DOUBLE * greatest(git_changed_files, github_changed_files) AS mismatch FROM (SELECT DISTINCT pr_number, git_changed_files, github_changed_files FROM pr_anomalies) WHERE git_changed_files IS NOT NULL AND github_changed_files IS NOT NULL UNION ALL SELECT DISTINCT pr_number, NULL FROM pr_anomalies WHERE git_changed_files IS NULL OR github_changed_files IS NULL",
+    "size_mismatch": "SELECT DISTINCT pr_number, abs(git_changed_files - github_changed_files) > 1 AND abs(git_changed_files - github_changed_files) > 0.1::DOUBLE * greatest(git_changed_files, github_changed_files) AS mismatch FROM (SELECT DISTINCT pr_number, git_changed_files, github_changed_files FROM pr_anomalies) WHERE git_changed_files IS NOT NULL AND github_changed_files IS NOT NULL UNION ALL SELECT DISTINCT pr_number, FALSE FROM pr_anomalies WHERE git_changed_files IS NULL OR github_changed_files IS NULL",
     "stratified_sample": "SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY sha256('audit|' || o_orderkey), o_orderkey) AS rank FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY sha256('audit|' || o_orderkey), o_orderkey) <= 5",
     "independent_entries": "SELECT o_custkey, o_orderpriority, o_orderkey, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) - 1 AS n_excluded FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) = 1",
     "both_sides": "SELECT DISTINCT pr_number, 'left_only' AS side FROM pull_requests WHERE pr_number NOT IN (SELECT pr_number FROM pr_anomalies WHERE pr_number IS NOT NULL) UNION ALL SELECT DISTINCT pr_number, 'right_only' FROM pr_anomalies WHERE pr_number NOT IN (SELECT pr_number FROM pull_requests WHERE pr_number IS NOT NULL)",
