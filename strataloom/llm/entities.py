@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,7 +172,7 @@ def misspellings(words: DataFrame) -> DataFrame:
     """
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("id", T.StringType())])
     banded = _rows(words.select("family").filter(F.length("family") >= 4), lambda f: ((b, f) for b in minhash_bands(f)), schema)
-    near_words = block_pairs(banded.withColumn("side", F.lit(None).cast("int"))).filter((F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b") <= 2))
+    near_words = block_pairs(banded.withColumn("side", F.lit(None).cast("int")), lambda x, y: (F.abs(F.length(x) - F.length(y)) <= 1) & (F.levenshtein(x, y, 2) >= 0))
     both = cut_lineage(near_words.select(F.col("a").alias("family"), F.col("b").alias("meant")).unionByName(near_words.select(F.col("b").alias("family"), F.col("a").alias("meant"))))
     pairs = both.join(words.filter("NOT proven").select("family"), "family", "left_semi").select("family", "meant")
     found = T.StructType([T.StructField("family", T.StringType()), T.StructField("meant", T.StringType())])
@@ -274,8 +274,8 @@ class Model(NamedTuple):
 DEFAULT = Model(np.array([4.0, 2.5, 2.0, -1.0, -0.5, 1.0, -6.0, -6.0, -4.0, -2.5]), np.array([]), np.array([]), 0.97, (True, True))
 
 
-def block_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b), a < b, of all pairs of a block of ``keys`` (key, side, id); rows with sides are paired with the other side only.
+def block_pairs(keys: DataFrame, keep: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(a, b), a < b, of all pairs of a block of ``keys`` (key, side, id) for which ``keep`` holds; rows with sides are paired with the other side only.
 
     A block of more than ``BLOCK`` rows is cut into chunks by a hash, and each pair of chunks is one
     group of the join, so that no task holds a large block; no pair is left out.
@@ -287,6 +287,8 @@ def block_pairs(keys: DataFrame) -> DataFrame:
     right = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("chunk"))).alias("i"), F.col("chunk").alias("j"), F.col("id").alias("y"), F.col("side").alias("t"))
     met = left.join(right, ["key", "i", "j"]).filter(((F.col("i") < F.col("j")) & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & F.col("s").isNotNull()))
     apart = met.filter(F.col("s").isNull() | (F.col("s") != F.col("t")))
+    if keep is not None:
+        apart = apart.filter(keep(F.col("x"), F.col("y")))
     return apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
