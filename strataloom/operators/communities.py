@@ -10,7 +10,7 @@ from strataloom.operators.skew import BROADCAST_ROWS
 from strataloom.session import cut_lineage
 
 #: Rounds of a level, levels, and the gain of modularity below which a level is done.
-ROUNDS, LEVELS, LEAST_GAIN = 20, 12, 1e-4
+ROUNDS, LEVELS, LEAST_GAIN = 12, 12, 1e-4
 #: Weights are counted in whole parts of 1, so that sums and ties do not depend on the order of rows.
 UNIT = 1_000_000
 
@@ -42,7 +42,7 @@ def _settle(links: DataFrame, nodes: DataFrame, total: int, resolution: float) -
         stay = F.coalesce("_stay", -F.col("degree") * resolution * (F.col("mass") - F.col("degree")) / F.lit(total))
         wish = placed.join(chosen, "a", "left").withColumn("goal", F.when(-F.col("_go.g") > stay + 1e-9 * F.lit(total), F.col("_go.c")))
         wish = cut_lineage(wish.select(F.col("a").alias("node"), "degree", "inner", "community", F.col("inner") + F.coalesce("kept", F.lit(0)), "goal").toDF("node", "degree", "inner", "community", "within", "goal"))
-        inside = wish.agg(F.sum("within"), F.count("goal")).first()
+        inside = wish.agg(F.sum("within"), F.count("goal"), F.min(F.when(F.col("goal").isNotNull(), F.col("node")))).first()
         squares = groups.agg(F.sum(F.pow(F.col("mass") / F.lit(total), 2))).first()[0]
         quality = inside[0] / total - resolution * squares
         if most is None or quality > most + LEAST_GAIN:
@@ -51,7 +51,8 @@ def _settle(links: DataFrame, nodes: DataFrame, total: int, resolution: float) -
             idle += 1
         if inside[1] == 0 or idle == 3 or turn == ROUNDS:
             break
-        turns = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+        # the least node that wants to move always may, so that a round without moves is never one by chance
+        turns = (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0) | (F.col("node") == F.lit(inside[2]))
         home = wish.select("node", "degree", "inner", F.when(turns, F.coalesce("goal", "community")).otherwise(F.col("community")).alias("community"))
     return best, most
 
