@@ -18,9 +18,9 @@ from strataloom.session import cut_lineage
 KINDS = ["email", "phone", "idnum", "address", "name"]
 #: What stands in a text for what was found.
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-#: A pattern needs so many different instances, and a lower bound of the share of them that is known. A number may be of
-#: either kind or of none, so above a third is more than chance; words that begin a sentence are mostly no names.
-LEAST_INSTANCES, LEAST_SHARE = 4, {"name": 0.5, "phone": 0.4, "idnum": 0.4, "single": 0.1}
+#: A pattern needs so many different instances, and a lower bound of the share of them that is known. Most formats
+#: of numbers are known by no shape, so a quarter is enough for them; words that begin a sentence are mostly no names.
+LEAST_INSTANCES, LEAST_SHARE = 4, {"name": 0.5, "phone": 0.25, "idnum": 0.25, "single": 0.1}
 #: A word that stands before the comma of "Word, Name" in so many candidates, and in so many times those where it is a family name, is a greeting.
 GREETED = 4
 #: Confidence of the lower bound: 95 % on one side.
@@ -310,8 +310,8 @@ def number_patterns(found: DataFrame) -> DataFrame:
     unknown until a pattern around them is accepted: from then on they are known, of the kind of
     their best pattern, and back other patterns. Known instances only grow, so this ends.
     """
-    # what follows a number is often the next thing of a list, so only what stands before it counts
-    numbers = _edges(found.filter(F.col("kind").isin("phone", "idnum", "number"))).filter(F.col("pattern").startswith("L "))
+    # what follows a number is often the next thing of a list, so only what stands before it counts, and the beginning of a line is nothing
+    numbers = _edges(found.filter(F.col("kind").isin("phone", "idnum", "number"))).filter(F.col("pattern").startswith("L ") & ~F.col("pattern").endswith("¶"))
     either = numbers.filter("kind = 'number'").drop("kind").select(F.explode(F.array(F.lit("phone"), F.lit("idnum"))).alias("kind"), "pattern", "instance", F.lit(False).alias("strong"))
     either = either.filter((F.col("kind") != "phone") | ~_lettered(F.col("instance")))
     edges = cut_lineage(numbers.filter("kind <> 'number'").unionByName(either).groupBy("kind", "pattern", "instance").agg(F.max("strong").alias("strong")))
