@@ -33,6 +33,9 @@ COMPONENT = 5_000
 #: A kind of evidence forbids a match if it contradicts in less than this share of the pairs that share an account.
 RARE_CONFLICT = 0.02
 
+#: A given name is established if people of so many family names have it.
+ESTABLISHED = 20
+
 #: First words of mailboxes that stand for a role and not for a person.
 ROLES = "team info support admin administrator dev devs ops devops hello contact noreply no build builds ci root git github office sales billing security help helpdesk service mail postmaster webmaster bot jenkins release releases".split()
 
@@ -88,6 +91,8 @@ def profile(login: str | None, display: str | None, emails: list | None, names:
                 aliases.append(fold(n.strip()))
     if login:
         base = fold(login)
+        # an account's name is one account's, as a mailbox is, also where it can be read as a name
+        boxes.append(f"{base}@")
         # a second account is often the first one's name with a word added
         aliases.append(re.sub(r"(?<=\d)[-_](?:work|private|priv|home|alt|dev|old|new|bot|\w{2,4})$", "", base))
     for e in emails or []:
@@ -96,6 +101,7 @@ def profile(login: str | None, display: str | None, emails: list | None, names:
             continue
         if m := _HOSTED.match(e):
             aliases.append(m.group(2))
+            boxes.append(f"{m.group(2)}@")
             continue
         local, domain = e.split("@", 1)
         local = local.split("+", 1)[0]
@@ -200,10 +206,13 @@ FEATURES = ["full", "initial", "short", "misspelt", "account_reading", "rarity",
 def compare(a: dict, b: dict) -> tuple[list[float], bool, bool]:
     """(features of names and contradictions, whether they share an account, whether their names contradict) of two rows.
 
-    A row: names and readings [(given, family)], misspelt {family: meant}, mailboxes, handles, companies.
+    A row: names and readings [(given, family)], misspelt {family: meant}, mailboxes, handles,
+    companies, established given names. Initials say nothing where both rows spell given names of
+    the family out, and two different established names are no spellings of each other: in a
+    frequent family name either would tie different people together.
     """
     best, miss, reading = 0.0, 0.0, 0.0
-    conflict = False
+    conflict = written = False
     views_a = [(g, f, 0) for g, f in a["names"]] + [(g, f, 1) for g, f in a["readings"]]
     views_b = [(g, f, 0) for g, f in b["names"]] + [(g, f, 1) for g, f in b["readings"]]
     for ga, fa, ra in views_a:
@@ -212,9 +221,13 @@ def compare(a: dict, b: dict) -> tuple[list[float], bool, bool]:
             spelt = not same and (fb in a["meant"].get(fa, ()) or fa in b["meant"].get(fb, ()) or bool(set(a["meant"].get(fa, ())) & set(b["meant"].get(fb, ()))))
             if not (same or spelt):
                 continue
-            g = _given(ga, gb)
+            g = 0.0 if ga != gb and ga in a["common"] and gb in b["common"] else _given(ga, gb)
             if g == 0.0 and not (ra or rb):
                 conflict = True
+            if len(ga) > 1 and len(gb) > 1 and not written:
+                written, best, miss, reading = True, 0.0, 0.0, 0.0
+            if written and (len(ga) == 1 or len(gb) == 1):
+                continue
             if g > best or (g == best and not spelt and miss):
                 best, miss, reading = g, float(spelt), float(ra or rb)
     foreign = bool(views_a) and bool(views_b) and best == 0.0
@@ -351,13 +364,15 @@ def evidence(people: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
     usage = cut_lineage(base.select(F.explode("domains").alias("domain")).groupBy("domain").agg(F.count(F.lit(1)).alias("n")))
     middle = usage.agg(F.percentile_approx("n", 0.5)).scalar()
     companies = base.select("id", F.explode("domains").alias("domain")).join(usage.filter(F.col("n") <= 2 * middle), "domain", "left_semi")
-    # a mailbox of people with different family names or handles belongs to none of them; those named after a role are left out above
-    meant = wrong.groupBy("family").agg(F.min("meant").alias("meant"))
-    spelt_right = named.select("id", "family").unionByName(readings.select("id", "family")).join(meant, "family", "left").select("id", F.coalesce("meant", "family").alias("who"))
+    # a mailbox of people without a family name in common, whatever their spellings may mean, or with different handles belongs to none of them; those named after a role are left out above
+    said = named.select("id", "family").unionByName(readings.select("id", "family")).distinct()
+    spelt_right = said.select("id", F.col("family").alias("who")).unionByName(said.join(wrong, "family").select("id", F.col("meant").alias("who")))
     unread = parted.join(readings.select("id").distinct(), "id", "left_anti").join(named.select("id").distinct(), "id", "left_anti").select("id", F.concat(F.least("given", "family"), F.lit(" "), F.greatest("given", "family")).alias("who"))
     digits = handles.filter(F.col("alias").rlike(r"\d"))
     owners = base.select("id", F.explode("mailboxes").alias("mailbox"))
-    people_of = owners.join(spelt_right.unionByName(unread).distinct(), "id").groupBy("mailbox").agg(F.countDistinct("who").alias("n")).filter("n > 1").select("mailbox")
+    who = owners.join(spelt_right.unionByName(unread).distinct(), "id")
+    known = who.groupBy("mailbox").agg(F.countDistinct("id").alias("rows"))
+    people_of = who.groupBy("mailbox", "who").agg(F.countDistinct("id").alias("n")).groupBy("mailbox").agg(F.max("n").alias("n")).join(known, "mailbox").filter("n < rows").select("mailbox")
     handles_of = owners.join(digits, "id").filter(F.col("alias") != F.split_part("mailbox", F.lit("@"), F.lit(1))).groupBy("mailbox").agg(F.countDistinct("alias").alias("n")).filter("n > 1").select("mailbox")
     team = cut_lineage(people_of.unionByName(handles_of).distinct())
     boxes = cut_lineage(owners.join(team, "mailbox", "left_anti"))
@@ -365,14 +380,16 @@ def evidence(people: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
     companies = companies.join(own_domains, ["id", "domain"], "left_semi")
     own_handles = digits.join(team.select(F.split_part("mailbox", F.lit("@"), F.lit(1)).alias("alias")).distinct(), "alias", "left_anti")
     misspelt = named.join(wrong, "family")
+    established = named.filter(F.length("given") > 1).groupBy("given").agg(F.countDistinct("family").alias("n")).filter(F.col("n") >= ESTABLISHED).select("given")
+    common = named.select("id", "given").unionByName(readings.select("id", "given")).distinct().join(F.broadcast(established), "given")
     # all evidence in one long table, brought together once a row
     fact = lambda df, what, x, y=None: df.select("id", F.lit(what).alias("what"), F.col(x).alias("x"), (F.col(y) if y else F.lit(None).cast("string")).alias("y"))
     facts = fact(named, "names", "given", "family")
-    for part in (fact(readings, "readings", "given", "family"), fact(loose, "loose", "given", "family"), fact(misspelt, "meant", "family", "meant"), fact(boxes, "mailboxes", "mailbox"), fact(own_handles, "handles", "alias"), fact(companies, "companies", "domain")):
+    for part in (fact(readings, "readings", "given", "family"), fact(loose, "loose", "given", "family"), fact(misspelt, "meant", "family", "meant"), fact(common, "common", "given"), fact(boxes, "mailboxes", "mailbox"), fact(own_handles, "handles", "alias"), fact(companies, "companies", "domain")):
         facts = facts.unionByName(part)
     gather = lambda what, value: F.array_sort(F.collect_set(F.when(F.col("what") == what, value))).alias(what)
     name, spelling = F.struct(F.col("x").alias("given"), F.col("y").alias("family")), F.struct(F.col("x").alias("family"), F.col("y").alias("meant"))
-    full = facts.groupBy("id").agg(gather("names", name), gather("readings", name), gather("loose", name), gather("meant", spelling), gather("mailboxes", F.col("x")), gather("handles", F.col("x")), gather("companies", F.col("x")))
+    full = facts.groupBy("id").agg(gather("names", name), gather("readings", name), gather("loose", name), gather("meant", spelling), gather("common", F.col("x")), gather("mailboxes", F.col("x")), gather("handles", F.col("x")), gather("companies", F.col("x")))
     says = F.when(F.size("names") + F.size("readings") + F.size("loose") > 0, F.md5(F.to_json(F.struct("names", "readings", "loose", "meant", "handles", "companies"))))
     full = cut_lineage(full.withColumn("says", says))
     first = full.filter("says IS NOT NULL").groupBy("says").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -391,7 +408,7 @@ def _row(r: dict) -> dict:
     meant: dict[str, set[str]] = {}
     for f, m in pairs(r["meant"], "family", "meant"):
         meant.setdefault(f, set()).add(m)
-    return {"names": pairs(r["names"], "given", "family"), "readings": pairs(r["readings"], "given", "family") + pairs(r["loose"], "given", "family"), "meant": meant, "mailboxes": r["mailboxes"] or [], "handles": r["handles"] or [], "companies": r["companies"] or []}
+    return {"names": pairs(r["names"], "given", "family"), "readings": pairs(r["readings"], "given", "family") + pairs(r["loose"], "given", "family"), "meant": meant, "common": r["common"] or [], "mailboxes": r["mailboxes"] or [], "handles": r["handles"] or [], "companies": r["companies"] or []}
 
 
 def compared(full: DataFrame, keys: DataFrame, members: DataFrame, more: DataFrame) -> DataFrame:

@@ -119,6 +119,23 @@ def test_rounds_settle_like_one_task(spark, monkeypatch):
         assert got == want
 
 
+def test_spelt_out_given_names_count_and_established_ones_differ():
+    row = lambda names, readings=(), common=(): {"names": names, "readings": list(readings), "meant": {}, "common": list(common), "mailboxes": [], "handles": [], "companies": []}
+    eva, ewan = row([("e", "berg")], [("eva", "berg")]), row([("ewan", "berg")])
+    assert E.compare(eva, ewan)[2] and E.compare(ewan, eva)[2]
+    assert E.compare(eva, row([("e", "berg")]))[0][0] == 1.0 and E.compare(eva, row([("eva", "berg")]))[0][0] == 1.0
+    assert E.compare(row([("nora", "berg")], common=["nora"]), row([("dora", "berg")], common=["dora"]))[2]
+    assert E.compare(row([("nora", "berg")], common=["nora"]), row([("nroa", "berg")]))[0][2] == 1.0
+
+
+def test_a_mailbox_stays_with_a_person_whose_spelling_may_mean_several_families(spark):
+    rows = [("a", None, None, ["tern@x.test"], ["Anna Kolelberg"], 0.5), ("b", None, None, ["tern@x.test"], ["Anna Kxlelberg"], 0.5), ("c", "b.kalelberg", None, [], ["Boris Kalelberg"], 0.5), ("d", "c.kolelberg", None, [], ["Clara Kolelberg"], 0.5)]
+    rows += [("e", None, None, ["crew@x.test"], ["Dario Wexdahl"], 0.5), ("f", None, None, ["crew@x.test"], ["Elsa Ostini"], 0.5), ("g", "k-ost", None, ["7+k-ost@users.noreply.x.test"], [], 0.5)]
+    boxes = {r.id: r.mailboxes for r in E.evidence(spark.createDataFrame(rows, SCHEMA))[0].collect()}
+    assert "tern@x.test" in boxes["a"] and "tern@x.test" in boxes["b"]
+    assert not boxes["e"] and not boxes["f"] and boxes["g"] == ["k-ost@"]
+
+
 def test_settle_splits_contradictions():
     nodes = {"a": (["h1"], [], []), "b": ([], [], []), "c": (["h2"], [], []), "d": ([], ["x"], [])}
     edges = [("a", "b", 0.9, False, 1), ("b", "c", 0.8, False, 2), ("b", "d", 0.7, False, 3)]
