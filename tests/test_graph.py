@@ -95,6 +95,19 @@ def test_louvain_whatever_the_order_of_rows(spark):
     assert C.communities(df.limit(0)).collect() == []
 
 
+def test_louvain_by_arrays_is_that_by_joins(spark, monkeypatch):
+    rng = random.Random(12)
+    groups = [(rng.randrange(12) * 10 + rng.randrange(10), rng.randrange(12)) for _ in range(260)]
+    edges = [(a, b // 10 * 10 + a % 10 if rng.random() < 0.3 else a // 10 * 10 + b % 10, rng.choice([0.2, 0.5, 1.0])) for a, _ in groups for b, _ in rng.sample(groups, 3)]
+    df = spark.createDataFrame(edges, "a int, b int, weight double").selectExpr("cast(a as string) AS a", "cast(b as string) AS b", "weight")
+    for name, value in (("PACKED", 7), ("ROUNDS", 4), ("LEVELS", 2)):
+        monkeypatch.setattr(C, name, value)
+    arrays = C.communities(df)
+    monkeypatch.setattr(C, "ARRAY_NODES", 0)
+    joins = C.communities(df)
+    assert arrays.dtypes == joins.dtypes and set(arrays.collect()) == set(joins.collect()) and arrays.select("community").distinct().count() > 1
+
+
 def test_split_and_confidence(spark):
     members = spark.createDataFrame([(i, 0) for i in range(5)] + [(9, 9)], "node int, community int")
     edges = spark.createDataFrame([(0, 1, True), (1, 2, False), (2, 3, True), (3, 4, False)], "a int, b int, strong boolean")
