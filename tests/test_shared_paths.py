@@ -39,6 +39,15 @@ def test_graphs_take_every_status_and_size_of_change(spark, tmp_path):
     assert sizes == {o: (1, 0) for o in range(30)} | {40: (2, 1)}
 
 
+def test_inner_pairs_are_those_of_one_group(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(rng.randrange(25), rng.randrange(40)) for _ in range(160)], "k int, m int")
+    groups = spark.createDataFrame([(m, m % 5) for m in range(40)], "m int, g int")
+    got = [(r.k, r.a, r.b, r.fan_out) for r in P.inner_pairs(rows, "k", "m", groups, "g", 2, 6).collect()]
+    want = {(r.k, r.a, r.b, r.fan_out) for r in P.shared_pairs(rows, "k", "m", 2, 6).collect() if r.a % 5 == r.b % 5}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_stars_connect_what_pairs_connect(spark):
     rng = random.Random(3)
     rows = spark.createDataFrame([(rng.randrange(60), rng.randrange(80)) for _ in range(200)], "k int, m int")
