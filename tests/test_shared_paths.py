@@ -60,3 +60,10 @@ def test_propagation_walks_three_steps_from_all_paths_of_a_fix(spark, tmp_path):
     lines = [(1, 5, "A", 1), (2, 10, "N", 1), (3, 20, "N", 1), (4, 40, "N", 1), (5, 7, "N", 1), (6, 14, "N", 1)]
     got = {(r.group, r.depth): (r.n_events, r.weight) for r in graphs.propagation(spark, put(spark, tmp_path, orders, lines)).collect()}
     assert got == {(1, 1): (1, 0.5), (1, 2): (1, 0.25), (1, 3): (1, 0.125), (5, 1): (1, 0.225)}
+
+
+def test_propagation_by_slices_is_the_same(spark, tmp_path, monkeypatch):
+    orders = {1: ("1-URGENT", 0), 2: ("5-LOW", 1), 5: ("1-URGENT", 0), 6: ("5-LOW", 1)}
+    d = put(spark, tmp_path, orders, [(1, 5, "A", 1), (2, 10, "N", 1), (5, 7, "N", 1), (6, 14, "N", 1)])
+    monkeypatch.setattr(graphs, "SLICE_STEPS", 2)
+    assert {(r.group, r.depth, r.n_events, r.weight) for r in graphs.propagation(spark, d).collect()} == {(1, 1, 1, 0.5), (5, 1, 1, 0.225)}
