@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.session import by_slices, cut_lineage
+
+#: Weights of the vectors that are compared before the next slice of blocks, about.
+SLICE_WEIGHTS = 20_000_000
+
 
 def tfidf(tokens: DataFrame, key: str, documents: int | Column | None = None, max_share: float = 0.3) -> DataFrame:
     """(``key``, token, weight, df): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each document of length 1.
@@ -39,23 +44,39 @@ def cosine_pairs(weights: DataFrame, key: str, least: float, block: int = 512) -
     prefix = weights.withColumn("_left", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(onward))).filter(F.col("_left") >= slack).select(key, "token")
     postings = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     bins = postings.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("_n") <= block, F.col("_n"))) / block))).scalar()
-    placed = prefix.join(postings, "token")
+    placed = cut_lineage(prefix.join(postings, "token"))
     light = placed.filter(F.col("_n") <= block).select(key, F.lit("").alias("_token"), F.pmod(F.xxhash64("token"), F.coalesce(bins, F.lit(1))).alias("_low"), F.lit(-1).cast("bigint").alias("_high"), F.lit(-1).cast("bigint").alias("_chunk")).distinct()
     chunks = F.ceil(F.col("_n") / block)
     heavy = placed.filter(F.col("_n") > block).withColumn("_chunk", F.pmod(F.xxhash64(key), chunks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
     heavy = heavy.select(key, F.col("token").alias("_token"), F.least("_chunk", "_other").alias("_low"), F.greatest("_chunk", "_other").alias("_high"), "_chunk")
-    vectors = weights.groupBy(key).agg(F.collect_list(F.struct("token", "weight")).alias("_v")).select(key, F.col("_v.token").alias("_tokens"), F.col("_v.weight").alias("_weights"))
+    blocks = light.unionByName(heavy)
+    # what a document is compared in: bins of rare tokens first, then frequent tokens; a pair counts in the first that its documents share
+    name = lambda token, low: F.when(token == "", F.concat(F.lit("\u0000"), F.lpad(low.cast("string"), 20, "0"))).otherwise(token)
+    shared = light.select(key, name(F.col("_token"), F.col("_low")).alias("_g")).unionByName(placed.filter(F.col("_n") > block).select(key, F.col("token").alias("_g")))
+    vectors = weights.join(placed.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.collect_list(F.struct("token", "weight")).alias("_v")).select(key, F.col("_v.token").alias("_tokens"), F.col("_v.weight").alias("_weights"))
+    vectors = cut_lineage(vectors.join(shared.groupBy(key).agg(F.collect_list("_g").alias("_shared")), key))
+    size = blocks.join(vectors.select(key, F.size("_tokens").alias("_s")), key).agg(F.sum("_s")).first()[0] or 0
     kind = weights.schema[key].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("similarity", T.DoubleType())])
 
     def compare(rows: pa.Table) -> pa.Table:
         i, j, found = alike(rows, slack)
+        first = first_shared(rows, i, j)
+        i, j, found = i[first], j[first], found[first]
         ids = rows[key].combine_chunks()
         return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j)), "similarity": pa.array(found)})
 
-    found = light.unionByName(heavy).join(vectors, key).groupBy("_token", "_low", "_high").applyInArrow(compare, schema)
-    pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.round(F.max("similarity"), 6).alias("similarity"))
-    return pairs.filter(F.col("similarity") >= least)
+    met = lambda part: part.join(vectors, key).groupBy("_token", "_low", "_high").applyInArrow(compare, schema).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("similarity", 6).alias("similarity")).filter(F.col("similarity") >= least)
+    # each pair comes from one block, so blocks are compared slice by slice
+    return by_slices(blocks.withColumn("_block", F.xxhash64("_token", "_low", "_high")), "_block", size // SLICE_WEIGHTS + 1, met)
+
+
+def first_shared(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether this block is the first that the rows ``i`` and ``j`` share."""
+    token, low = rows["_token"][0].as_py(), rows["_low"][0].as_py()
+    here = token or "\0" + str(low).zfill(20)
+    earlier = [{g for g in x if g < here} for x in rows["_shared"].to_pylist()]
+    return np.array([earlier[x].isdisjoint(earlier[y]) for x, y in zip(i, j, strict=True)], dtype=bool)
 
 
 def alike(rows: pa.Table, least: float, columns: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -162,6 +162,16 @@ def test_cosine_pairs_of_families_that_share_only_common_words(spark):
         assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 2e-6 for p in want)
 
 
+def test_cosine_pairs_by_slices_are_the_same_and_none_twice(spark, monkeypatch):
+    rng = random.Random(13)
+    tokens = spark.createDataFrame([(i, rng.choice("abcdefghij")) for i in range(40) for _ in range(8)], "id int, token string")
+    w = S.tfidf(tokens, "id", max_share=0.9).localCheckpoint()
+    want = {(r.a, r.b, r.similarity) for r in S.cosine_pairs(w, "id", 0.7).collect()}
+    monkeypatch.setattr(S, "SLICE_WEIGHTS", 700)
+    got = [(r.a, r.b, r.similarity) for r in S.cosine_pairs(w, "id", 0.7, block=8).collect()]
+    assert len(got) == len(want) > 20 and {x[:2] for x in got} == {x[:2] for x in want}
+
+
 def test_nearest_and_identity(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "id int, e array<double>")
     got = [(r.rank, r.id) for r in S.nearest(v, v.filter("id = 0"), "id", "e", 2).orderBy("rank").collect()]
