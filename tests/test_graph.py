@@ -3,6 +3,7 @@ from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataloom.operators import communities as C
 from strataloom.operators import graph as G
@@ -128,6 +129,24 @@ def test_propagation_respects_time_and_counts_an_event_once(spark):
     assert got == {(1, 1, "q"): 0.5, (4, 2, "r"): 0.25}
 
 
+def test_reach_over_arrays_is_what_the_walk_by_joins_counts(spark, monkeypatch):
+    rng = random.Random(12)
+    sources = spark.createDataFrame([(g, rng.randrange(40), rng.choice([1.0, 0.45]), rng.randrange(50)) for g in range(-3, 30) for _ in range(4)], "group long, path long, weight double, at long").withColumn("at", F.timestamp_seconds("at"))
+    imports = spark.createDataFrame([(rng.randrange(40), rng.randrange(40)) for _ in range(90)], "src long, dst long")
+    touches = spark.createDataFrame([(rng.randrange(38), rng.choice([1, -1, 2**40]) * rng.randrange(60), rng.randrange(60)) for _ in range(500)], "path long, event long, at long").withColumn("at", F.timestamp_seconds("at"))
+    for most in (150, 3):
+        walked = C.propagate(sources, imports, touches, most=most).groupBy("group", "depth").agg(F.count("event").alias("n_events"), F.sum("weight").alias("weight"))
+        want = sorted((r.group, r.depth, r.n_events, round(r.weight, 9)) for r in walked.collect())
+        for hits, rows in ((400_000, 2_000), (40, 7)):
+            monkeypatch.setattr(C, "WALK_HITS", hits)
+            monkeypatch.setattr(C, "WALK_SOURCES", rows)
+            got = C.reach_by_depth(sources, imports, touches, most=most)
+            assert sorted((r.group, r.depth, r.n_events, round(r.weight, 9)) for r in got.collect()) == want
+    assert {d for _, d, _, _ in want} == {1, 2, 3}
+    monkeypatch.setattr(C, "ARRAY_BYTES", 10)
+    assert C.reach_by_depth(sources, imports, touches) is None
+
+
 def test_cosine_pairs_against_brute_force(spark):
     rng = random.Random(7)
     docs = {i: [rng.choice("abcdefghij") for _ in range(8)] for i in range(30)}

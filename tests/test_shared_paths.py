@@ -67,3 +67,14 @@ def test_propagation_by_slices_is_the_same(spark, tmp_path, monkeypatch):
     d = put(spark, tmp_path, orders, [(1, 5, "A", 1), (2, 10, "N", 1), (5, 7, "N", 1), (6, 14, "N", 1)])
     monkeypatch.setattr(graphs, "SLICE_STEPS", 2)
     assert {(r.group, r.depth, r.n_events, r.weight) for r in graphs.propagation(spark, d).collect()} == {(1, 1, 1, 0.5), (5, 1, 1, 0.225)}
+
+
+def test_propagation_over_arrays_and_joins_is_the_same(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    orders = {k: (rng.choice(["1-URGENT", "5-LOW"]), rng.randrange(90)) for k in range(60)}
+    d = put(spark, tmp_path, orders, [(k, rng.randrange(1, 45), rng.choice("AN"), 1) for k in orders for _ in range(3)], 40)
+    rows = lambda: sorted((r.group, r.depth, r.n_events, round(r.weight, 9)) for r in graphs.propagation(spark, d).collect())
+    arrays = rows()
+    monkeypatch.setattr(graphs.C, "ARRAY_BYTES", 0)
+    monkeypatch.setattr(graphs, "SLICE_STEPS", 500)
+    assert arrays == rows() and {d for _, d, _, _ in arrays} == {1, 2, 3}
