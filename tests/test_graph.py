@@ -191,6 +191,31 @@ def test_cosine_pairs_by_slices_are_the_same_and_none_twice(spark, monkeypatch):
     assert len(got) == len(want) > 20 and {x[:2] for x in got} == {x[:2] for x in want}
 
 
+def test_alike_documents_are_the_cosine_pairs(spark, monkeypatch):
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    docs = [(7 * i % 4_001 - 50, rng.choices(words[:13], k=12) if i % 3 else rng.sample(words, 4) * 2 + words[:1]) for i in range(400)]
+    docs += [(10_000 + i, [*docs[i][1], rng.choice(words)]) for i in range(0, 150)] + [(-100, []), (-101, None), (-102, ["once"])]
+    rows = lambda df: sorted((r.a, r.b, round(r.similarity, 5)) for r in df.collect())
+    df = spark.createDataFrame(docs, "id int, tokens array<string>").repartition(3)
+    for least in (0.6, 0.8):
+        want = rows(S.cosine_pairs(S.tfidf(df.select("id", F.explode("tokens").alias("token")), "id", max_share=0.9), "id", least))
+        for axes, unit in ((256, 16_384), (3, 32)):
+            for name, value in {"AXES": axes, "UNIT_DOCUMENTS": unit, "COMPARED": unit // 2, "AXES_TOKENS": axes * 2}.items():
+                monkeypatch.setattr(S, name, value)
+            got = S.alike_documents(df, "id", "tokens", least, max_share=0.9)
+            assert got.dtypes == [("a", "int"), ("b", "int"), ("similarity", "double")] and rows(got) == want
+    assert len(want) > 500
+    text = df.select(F.col("id").cast("string").alias("id"), "tokens")
+    assert len(rows(S.alike_documents(text, "id", "tokens", 0.8, max_share=0.9))) == len(want)
+    # keys that are not distinct are one document, by joins
+    monkeypatch.setattr(S, "_axes", None)
+    twice = df.select((F.col("id") % 300).alias("id"), "tokens")
+    assert rows(S.alike_documents(twice, "id", "tokens", 0.8, max_share=0.9)) == rows(S.cosine_pairs(S.tfidf(twice.select("id", F.explode("tokens").alias("token")), "id", max_share=0.9), "id", 0.8))
+    monkeypatch.undo()
+    assert S.alike_documents(df.limit(0), "id", "tokens", 0.8).collect() == []
+
+
 def test_nearest_and_identity(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "id int, e array<double>")
     got = [(r.rank, r.id) for r in S.nearest(v, v.filter("id = 0"), "id", "e", 2).orderBy("rank").collect()]
