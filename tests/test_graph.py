@@ -109,6 +109,21 @@ def test_louvain_by_arrays_is_that_by_joins(spark, monkeypatch):
     assert arrays.dtypes == joins.dtypes and set(arrays.collect()) == set(joins.collect()) and arrays.select("community").distinct().count() > 1
 
 
+def test_packed_links_are_summed_apart_from_loops_and_small(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(rng.randrange(50), rng.randrange(50), rng.choice([1, 1_000_000])) for _ in range(4_000)] + [(3, 4, 2**40), (60, 60, 5)]
+    packed = C._packed(spark.createDataFrame(rows, "a int, b int, w long"), 3)
+    want = {}
+    for a, b, w in rows:
+        want[a, b] = want.get((a, b), 0) + w
+    got = C._over(packed, lambda a, b, w: (a, b, w), "a int, b int, w long").collect()
+    assert len(got) == len({(r.a, r.b) for r in got}) and {(r.a, r.b): r.w for r in got} == {k: w for k, w in want.items() if k[0] != k[1]}
+    loops = [(int(a), int(w)) for r in packed.collect() for a, w in zip(np.frombuffer(r.loop, "i4"), np.frombuffer(r.within, "i8"), strict=True)]
+    assert sorted(loops) == sorted((a, w) for (a, b), w in want.items() if a == b) and (60, 5) in loops
+    many = C._packed(spark.createDataFrame([(i // 100, 100 + i % 100, 7) for i in range(10_000)], "a int, b int, w long"), 2)
+    assert sum(len(x) for r in many.collect() for x in r) <= 9 * 10_000
+
+
 def test_split_and_confidence(spark):
     members = spark.createDataFrame([(i, 0) for i in range(5)] + [(9, 9)], "node int, community int")
     edges = spark.createDataFrame([(0, 1, True), (1, 2, False), (2, 3, True), (3, 4, False)], "a int, b int, strong boolean")
